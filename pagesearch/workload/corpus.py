@@ -14,11 +14,11 @@ from pagesearch.workload import table
 from pagesearch.workload.sites import CORPUS, ROOT
 
 
-def corpus_pages(spark: SparkSession, folder: str) -> DataFrame:
+def corpus_pages(documents: DataFrame) -> DataFrame:
     """Rows ``(page_id, url, title, text)`` of the documents."""
     url = F.concat_ws("/", F.lit(ROOT), "source", "lang", F.col("doc_id").cast("string"))
     first_line = F.substring_index(F.substring_index("text", "\n", 1), ".", 1)
-    return table(spark, folder, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("page_id"), url.alias("url"),
         prepare_text(first_line, CORPUS.literal_terms, True).alias("title"), "text",
         "source", "lang")
@@ -56,7 +56,7 @@ def index_pages(pages: DataFrame) -> DataFrame:
 
 
 def corpus_documents(spark: SparkSession, folder: str) -> DataFrame:
-    pages = corpus_pages(spark, folder)
+    pages = corpus_pages(table(spark, folder, "documents"))
     return split_documents(pages).unionByName(index_pages(pages))
 
 

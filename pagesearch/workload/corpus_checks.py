@@ -29,10 +29,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def next_crawl(spark: SparkSession, folder: str) -> DataFrame:
     """A later crawl: toxic documents are gone, documents of low quality carry a note."""
     labels = table(spark, folder, "labels")
-    gone = labels.filter("toxic = 1").select(F.col("doc_id").alias("page_id"))
-    poor = labels.filter("quality = 0").select(F.col("doc_id").alias("page_id"), F.lit(" (archived)").alias("note"))
-    kept = corpus_pages(spark, folder).join(gone, "page_id", "left_anti").join(poor, "page_id", "left")
-    return kept.withColumn("text", F.concat("text", F.coalesce("note", F.lit("")))).drop("note")
+    gone = labels.filter("toxic = 1").select("doc_id")
+    poor = labels.filter("quality = 0").select("doc_id", F.lit(" (archived)").alias("note"))
+    kept = documents(spark, folder).join(gone, "doc_id", "left_anti").join(poor, "doc_id", "left")
+    return corpus_pages(kept.withColumn("text", F.concat("text", F.coalesce("note", F.lit("")))))
 
 
 def next_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,7 +53,7 @@ def refreshed(spark: SparkSession, folder: str) -> DataFrame:
 
 def edges(spark: SparkSession, folder: str) -> DataFrame:
     """Links from the root to sources, on to languages, and to the documents that are not of low quality."""
-    pages = corpus_pages(spark, folder)
+    pages = corpus_pages(documents(spark, folder))
     poor = table(spark, folder, "labels").filter("quality = 0").select(F.col("doc_id").alias("page_id"))
     at = lambda *parts: F.concat_ws("/", F.lit(ROOT), *parts)
     return (pages.select(F.lit(ROOT).alias("src"), at("source").alias("dst"))

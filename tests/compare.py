@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
 
+timings: dict[str, float] = {}
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
@@ -22,11 +26,14 @@ def _rows(columns, rows):
 
 def difference(spark, folder: str, check, connection) -> str | None:
     """None when both sides agree, else what differs."""
+    started = time.time()
     result = check.run(spark, folder)
     got = _rows(result.columns, [tuple(row) for row in result.collect()])
+    timings["spark"] = round(time.time() - started, 1)
     if check.sql is None:
         return None if got else "no rows"
     answer = connection.execute(check.sql)
+    timings["both"] = round(time.time() - started, 1)
     names = [d[0] for d in answer.description]
     want = _rows(names, answer.fetchall())
     if sorted(names) != sorted(result.columns):
