@@ -22,10 +22,15 @@ QUERY_WORD = "(" + TOKEN[1:-1] + r"\*?)"
 
 @dataclass(frozen=True)
 class SearchResult:
-    """``hits`` has one row per result, ``totals`` one row per request."""
+    """``hits`` has one row per result, ``totals`` one row per request.
+
+    ``scored`` holds all hits of the distinct queries, ``requests`` the requests as they were understood.
+    """
 
     hits: DataFrame
     totals: DataFrame
+    scored: DataFrame
+    requests: DataFrame
 
 
 def resolve_sites(requests: DataFrame, sites: DataFrame, default_site: str) -> DataFrame:
@@ -151,4 +156,5 @@ def search(index: SearchIndex, requests: DataFrame, default_site: str, landing_p
         hits = hits.join(landing.select("query_id", "url"), ["query_id", "url"], "left_anti") \
             .select(*columns).unionByName(landing)
     counted = prepared.select("query_id", "status", "qkey").join(K.totals(scored), "qkey", "left")
-    return SearchResult(hits, counted.select("query_id", "status", F.coalesce("total", F.lit(0)).alias("total")))
+    request_totals = counted.select("query_id", "status", F.coalesce("total", F.lit(0)).alias("total"))
+    return SearchResult(hits, request_totals, scored, prepared)
