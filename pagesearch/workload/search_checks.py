@@ -149,9 +149,9 @@ prepared AS (
     FROM (SELECT *, {_WIDE} AS wide, {_CLEAN} AS clean, coalesce(site, '{ROOT}') AS asked_site FROM requests))),
 asked AS (SELECT DISTINCT qkey, query_text, section FROM prepared WHERE ok),
 words AS (
-  SELECT qkey, at - 1 AS slot, CASE WHEN {_STARRED} THEN 'prefix' ELSE 'exact' END AS kind,
+  SELECT qkey, nth - 1 AS slot, CASE WHEN {_STARRED} THEN 'prefix' ELSE 'exact' END AS kind,
          {Q.unescape("CASE WHEN " + _STARRED + " THEN left(piece, length(piece) - 1) ELSE piece END")} AS text
-  FROM (SELECT qkey, unnest({_PIECES}) AS piece, generate_subscripts({_PIECES}, 1) AS at FROM asked)),
+  FROM (SELECT qkey, unnest({_PIECES}) AS piece, generate_subscripts({_PIECES}, 1) AS nth FROM asked)),
 slots AS (SELECT qkey, slot, 'must' AS occur, kind, text, '' AS field FROM words WHERE kind = 'prefix' OR text NOT IN ({Q.words(Q.STOP_WORDS)})),
 {MATCH_SQL},
 all_hits AS (
@@ -316,8 +316,8 @@ CHECKS = {
     "search_summary": Check(
         lambda s, d: highlighted(s, d).select("doc_id", render.summarize(F.col("body")).alias("summary")),
         _HIGHLIGHTED + ", cut AS (SELECT *, string_split_regex(body, '[ \\t\\n\\r\\f]+') AS ws FROM lit), placed_at AS (SELECT *, "
-                       "greatest(list_position(list_transform(ws, lambda w: contains(w, '<b>')), true) - 4, 1) AS at FROM cut) "
-                       "SELECT doc_id, CASE WHEN contains(body, '<b>') THEN array_to_string(ws[at:at + 9], ' ') || '... ' ELSE body END AS summary FROM placed_at"),
+                       "greatest(list_position(list_transform(ws, lambda w: contains(w, '<b>')), true) - 4, 1) AS first_at FROM cut) "
+                       "SELECT doc_id, CASE WHEN contains(body, '<b>') THEN array_to_string(ws[first_at:first_at + 9], ' ') || '... ' ELSE body END AS summary FROM placed_at"),
     "search_with_landing": Check(
         lambda s, d: answer(s, d).hits.select("query_id", "rank", "url"), _RESULTS + "SELECT query_id, rank, url FROM results"),
     "search_report": Check(
