@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -83,12 +85,14 @@ def tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
 
 def stem(token: Column) -> Column:
     """Harman's S-stemmer for words longer than three letters."""
-    ends = token.rlike
+    ends = lambda *suffixes: reduce(or_, [F.endswith(token, F.lit(s)) for s in suffixes])
+    size = F.length(token)
+    without_s = F.left(token, size - 1)
     return (
-        F.when(F.length(token) <= 3, token)
-        .when(ends(r"ies\z") & ~ends(r"[ea]ies\z"), F.regexp_replace(token, r"ies\z", "y"))
-        .when(ends(r"es\z") & ~ends(r"[aeo]es\z"), F.regexp_replace(token, r"s\z", ""))
-        .when(ends(r"s\z") & ~ends(r"[us]s\z"), F.regexp_replace(token, r"s\z", ""))
+        F.when(size <= 3, token)
+        .when(ends("ies") & ~ends("eies", "aies"), F.concat(F.left(token, size - 3), F.lit("y")))
+        .when(ends("es") & ~ends("aes", "ees", "oes"), without_s)
+        .when(ends("s") & ~ends("us", "ss"), without_s)
         .otherwise(token)
     )
 

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pagesearch.config import SiteConfig
 from pagesearch.functions.text import STEM_MARK, SYNONYM_MARK, stem, tokens
 
-# Columns that belong to a document and stay with its rows from tokens to postings.
-DOC = ["site", "doc_id", "doc_score"]
+# A document inside the index build: 128 bits of hash in place of its site and long id, so that the
+# rows which are sorted and counted by the million stay short.
+KEY = ["_d1", "_d2"]
 
 
 def plain(term: Column) -> Column:
@@ -23,8 +24,13 @@ def single_word_groups(config: SiteConfig) -> list[tuple[str, list[str]]]:
     return [(g, words) for g, words in groups if words]
 
 
+def _run_mark(group: str) -> str:
+    """What a token gets appended where a synonym of several words starts; tokens hold no line ends."""
+    return f"\n{group}\n"
+
+
 def _mark_synonym_runs(tokens_: Column, config: SiteConfig) -> Column:
-    """Where a synonym of several words starts, append its mark to the token on a line of its own."""
+    """Append the mark of its group to each token at which a synonym of several words starts."""
     runs = [(group, words) for group, members in config.active_groups.items()
             for words in (m.lower().split() for m in members) if len(words) > 1]
     if not runs:
@@ -34,84 +40,88 @@ def _mark_synonym_runs(tokens_: Column, config: SiteConfig) -> Column:
     def marked(token: Column, i: Column) -> Column:
         marks = [
             F.when((token == words[0]) & (F.slice(tokens_, i + 1, F.lit(len(words))) == F.array(*map(F.lit, words))),
-                   F.lit(SYNONYM_MARK + group))
+                   F.lit(_run_mark(group))).otherwise(F.lit(""))
             for group, words in runs]
-        return F.when(F.array_contains(firsts, token), F.concat_ws("\n", token, *marks)).otherwise(token)
+        return F.when(F.array_contains(firsts, token), F.concat(token, *marks)).otherwise(token)
 
     return F.when(F.arrays_overlap(tokens_, firsts), F.transform(tokens_, marked)).otherwise(tokens_)
 
 
-def _terms_of(word: Column, stemmed: Column, config: SiteConfig) -> Column:
-    """All index terms at a position: the token, its stem when that differs, its synonym groups."""
-    token = F.substring_index(word, "\n", 1)
-    root = stem(token)
+def _terms_of(word: Column, token: Column, root: Column, stemmed: Column, config: SiteConfig) -> Column:
+    """All index terms at a position: the token, its stem when that differs, its synonym groups.
+
+    Terms that do not apply are null, to be dropped after the explode: unlike an array filter, this
+    stays in generated code.
+    """
+    singles = dict(single_word_groups(config))
     terms = [token, F.when(stemmed & (root != token), F.concat(F.lit(STEM_MARK), root))]
-    for group, words in single_word_groups(config):
-        terms.append(F.when(token.isin(*words), F.lit(SYNONYM_MARK + group)))
-    found = F.filter(F.array(*terms), lambda t: t.isNotNull())
-    marks = F.slice(F.split(word, "\n", -1), F.lit(2), F.length(word))
-    return F.when(F.contains(word, F.lit("\n")), F.concat(found, marks)).otherwise(found)
+    for group in config.active_groups:
+        applies = F.contains(word, F.lit(_run_mark(group)))
+        if group in singles:
+            applies = token.isin(*singles[group]) | applies
+        terms.append(F.when(applies, F.lit(SYNONYM_MARK + group)))
+    return F.array(*terms)
+
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"_d1": F.xxhash64("site", "doc_id"), "_d2": F.xxhash64("doc_id", F.lit("#"), "site")})
 
-def field_tokens(docs: DataFrame, config: SiteConfig) -> DataFrame:
-    """Rows ``(site, doc_id, doc_score, field, offset, tokens)``; the offset makes positions document-wide."""
+
+def field_tokens(keyed: DataFrame, config: SiteConfig) -> DataFrame:
+    """Rows ``(key, field, offset, tokens)``; the offset makes positions document-wide."""
     fields = list(config.field_weights)
-    score = F.col("score") if "score" in docs.columns else F.lit(1.0)
-    split = docs.select("site", "doc_id", score.alias("doc_score"),
-                        *[tokens(F.col(f)).alias(f) for f in fields])
+    split = keyed.select(*KEY, *[tokens(F.col(f)).alias(f) for f in fields])
     entries, offset = [], F.lit(0)
     for name in fields:
         entries.append(F.struct(F.lit(name).alias("field"), offset.alias("offset"), F.col(name).alias("tokens")))
         offset = offset + F.size(name)
-    return split.select(*DOC, F.inline(F.array(*entries)))
+    return split.select(*KEY, F.inline(F.array(*entries)))
+
 
+def term_postings(docs: DataFrame, config: SiteConfig) -> DataFrame:
+    """Rows ``(site, doc_id, doc_score, term, fields, wtf, max_wtf)``: one per term and document.
 
-def postings(docs: DataFrame, config: SiteConfig) -> DataFrame:
-    """Rows ``(site, doc_id, doc_score, term, field, tf, wtf, positions)``.
+    ``fields`` has ``(field, tf, wtf, positions)`` of each field that holds the term.
 
-    The documents are hash-partitioned by ``doc_id`` once; counting the terms of a document and its
-    norm then need no further shuffle, and only whole rows move, never single tokens. The number of
-    partitions is given, as splitting text costs far more than its bytes suggest to AQE.
+    The documents are hash-partitioned by their key once; counting the terms of a document, its norm
+    and the join back to its id then need no further shuffle of terms, and only whole documents move,
+    never single tokens. The number of partitions is given, as splitting text costs far more than its
+    bytes suggest to AQE.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    per_field = field_tokens(docs.repartition(partitions, "doc_id"), config)
+    keyed = _keyed(docs)
+    per_field = field_tokens(keyed.repartition(partitions, *KEY), config)
     stemmed = ~F.col("field").isin(*config.no_stem_fields)
-    position = (F.col("offset") + F.col("at")).alias("position")
     marked = _mark_synonym_runs(F.col("tokens"), config)
-    words = per_field.select(*DOC, "field", "offset", F.posexplode(marked).alias("at", "word"))
-    terms = _terms_of(F.col("word"), stemmed, config)
-    occurrences = words.select(*DOC, "field", position, F.explode(terms).alias("term"))
-    counted = occurrences.groupBy(*DOC, "field", "term").agg(
-        F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-    return counted.withColumn("wtf", field_weight(config) * F.col("tf"))
+    words = per_field.select(*KEY, "field", "offset", F.posexplode(marked).alias("at", "word"))
+    position = (F.col("offset") + F.col("at")).alias("position")
+    split = words.withColumn("token", F.substring_index("word", "\n", 1)).withColumn("root", stem(F.col("token")))
+    terms = _terms_of(F.col("word"), F.col("token"), F.col("root"), stemmed, config)
+    occurrences = split.select(*KEY, "field", position, F.explode(terms).alias("term")) \
+        .filter(F.col("term").isNotNull())
+    per_field_term = occurrences.groupBy("term", "field", *KEY).agg(
+        F.array_sort(F.collect_list("position")).alias("positions"))
+    weighed = per_field_term.withColumn("tf", F.size("positions").cast("long")) \
+        .withColumn("wtf", field_weight(config) * F.col("tf"))
+    per_term = weighed.groupBy("term", *KEY).agg(
+        F.sum("wtf").alias("wtf"), F.collect_list(F.struct("field", "tf", "wtf", "positions")).alias("fields"))
+    tokens_only = F.when(plain(F.col("term")), F.col("wtf"))
+    normed = per_term.withColumn("max_wtf", F.max(tokens_only).over(W.partitionBy(*KEY)))
+    score = F.col("score") if "score" in docs.columns else F.lit(1.0)
+    owners = keyed.select(*KEY, "site", "doc_id", score.alias("doc_score"))
+    return normed.join(owners.hint("shuffle_merge"), KEY).drop(*KEY)
 
 
 def field_weight(config: SiteConfig) -> Column:
-    pairs = [F.lit(x) for name, weight in config.field_weights.items() for x in (name, float(weight))]
-    return F.element_at(F.create_map(*pairs), F.col("field"))
-
-
-def weighted_tf(posting_rows: DataFrame) -> DataFrame:
-    return posting_rows.groupBy(*DOC, "term").agg(F.sum("wtf").alias("wtf"))
-
-
-def term_postings(posting_rows: DataFrame) -> DataFrame:
-    """One row per term and document, its fields nested, with the norm of the document.
-
-    Still partitioned by ``doc_id``, so both steps run without a shuffle; the window holds the
-    distinct terms of one document.
-    """
-    entry = F.struct("field", "tf", "wtf", "positions")
-    per_term = posting_rows.groupBy(*DOC, "term").agg(
-        F.sum("wtf").alias("wtf"), F.array_sort(F.collect_list(entry)).alias("fields"))
-    tokens_only = F.when(plain(F.col("term")), F.col("wtf"))
-    return per_term.withColumn("max_wtf", F.max(tokens_only).over(W.partitionBy(*DOC)))
+    weight = F.lit(1.0)
+    for name, value in config.field_weights.items():
+        weight = F.when(F.col("field") == name, F.lit(float(value))).otherwise(weight)
+    return weight
 
 
-def document_norms(posting_rows: DataFrame) -> DataFrame:
-    """Largest weighted count of any token of a document."""
-    per_term = weighted_tf(posting_rows.filter(plain(F.col("term"))))
-    return per_term.groupBy("site", "doc_id").agg(F.max("wtf").alias("max_wtf"))
+def postings(term_rows: DataFrame) -> DataFrame:
+    """Rows ``(site, term, doc_id, field, tf, wtf, positions)``: one per term, document and field."""
+    return term_rows.select("site", "term", "doc_id", F.inline("fields"))
 
 
 def dictionary(term_rows: DataFrame) -> DataFrame:

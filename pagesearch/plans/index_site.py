@@ -50,7 +50,7 @@ def index_documents(unique: DataFrame, config: SiteConfig) -> SearchIndex:
 
     The score rides along through the tokens of its document, so no join brings it back.
     """
-    rows = P.term_postings(P.postings(unique, config))
+    rows = P.term_postings(unique, config)
     return SearchIndex(unique, rows, P.dictionary(rows), P.corpus_size(unique), config)
 
 

@@ -40,7 +40,7 @@ def write_by_term(rows: DataFrame, path: str, buckets: int) -> None:
     """Terms in hash buckets for pruning, sorted by term; a bucket with a hot term spans many files."""
     bucketed = rows.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
     bucketed.hint("rebalance", "site", "term_bucket") \
-        .sortWithinPartitions("site", "term_bucket", "term", "doc_id") \
+        .sortWithinPartitions("site", "term_bucket", "term") \
         .write.mode("overwrite").partitionBy("site", "term_bucket").parquet(path)
 
 

@@ -85,8 +85,7 @@ _COPIES = f"WITH {_NEXT}, copies AS (SELECT page_id, doc_key, url FROM docs UNIO
 
 
 def flat_postings(spark: SparkSession, folder: str) -> DataFrame:
-    rows = corpus_index(spark, folder).postings
-    return rows.select("site", "term", "doc_id", F.inline("fields"))
+    return P.postings(corpus_index(spark, folder).postings)
 
 
 CHECKS = {
@@ -181,7 +180,7 @@ CHECKS = {
         f"SELECT token, {Q.stem('token')} AS stem, count(*) AS n FROM "
         f"(SELECT unnest({Q.tokens('text')}) AS token FROM documents) GROUP BY token"),
     "postings_build": Check(
-        lambda s, d: P.postings(scored_corpus(s, d), CORPUS).select(
+        lambda s, d: P.postings(P.term_postings(scored_corpus(s, d), CORPUS)).select(
             "term", "doc_id", "field", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions")),
         _INDEX + "SELECT term, doc_id, field, tf, array_to_string(positions, ' ') AS positions FROM postings"),
     "field_weighted_tf": Check(
