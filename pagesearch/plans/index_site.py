@@ -61,6 +61,8 @@ def store_index(docs: DataFrame, config: SiteConfig, store: IndexStore, buckets:
     path = lambda table: store.table_path(version, table)
     upsert_latest(docs, ["page_id"]).hint("rebalance", "site") \
         .write.mode("overwrite").partitionBy("site").parquet(path("documents"))
+    if store.is_empty(version):
+        return version
     stored = store.read("documents", version)
     built = index_documents(stored, config)
     write_by_term(built.postings, path("postings"), buckets)

@@ -93,9 +93,14 @@ class IndexStore:
         modes[0] = overwrite
         context.rename(side, jvm.org.apache.hadoop.fs.Path(f"{self.home}/{POINTER}"), modes)
 
+    def is_empty(self, version: str) -> bool:
+        """True when no site folder was written under the documents of a version."""
+        names = _children(self.spark, self.table_path(version, "documents"))
+        return not any(name.startswith("site=") for name in names)
+
     def publish_unless_empty(self, version: str) -> bool:
         """An empty crawl drops its version and leaves the alias where it was."""
-        if self.read("documents", version).isEmpty():
+        if self.is_empty(version):
             _delete(self.spark, f"{self.home}/{version}")
             return False
         self.publish(version)
