@@ -172,4 +172,4 @@ def test_deep_ranks_equal_window_ranks(spark):
 def test_slop(one, lists):
     gaps = [min(abs(a - b) for a in left for b in right) for left, right in pairwise(lists)]
     want = max(1.0, math.sqrt(sum(g * g for g in gaps)))
-    assert one(M.slop(F.col("p")), p=[list(x) for x in lists]) == pytest.approx(want)
+    assert one(M.slop(F.col("p").cast("array<array<int>>")), p=[list(x) for x in lists]) == pytest.approx(want)
