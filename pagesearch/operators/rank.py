@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pagesearch.config import SECTION_WEIGHT
-from pagesearch.session import cut_lineage
+from pagesearch.operators.skew import salted_join
+from pagesearch.session import cut_lineage, fits_broadcast
 
 # Up to this depth a rank comes from a window with a literal limit, which Spark applies before
 # the shuffle. Deeper pages are ranked by a range sort over all tasks.
@@ -70,7 +71,11 @@ def page_ranks(hits: DataFrame, requests: DataFrame, window_depth: int = WINDOW_
 
 
 def _cut(ranked: DataFrame, asked: DataFrame) -> DataFrame:
-    joined = ranked.join(asked, "qkey")
+    """The asked ranks; many requests may share one query, so they are the side that is spread."""
+    if fits_broadcast(asked):
+        joined = ranked.join(F.broadcast(asked), "qkey")
+    else:
+        joined = salted_join(asked, ranked, ["qkey"], ["query_id"])
     return joined.filter((F.col("rank") > F.col("start")) & (F.col("rank") <= F.col("end"))).drop("start", "end")
 
 

@@ -124,7 +124,7 @@ def show_hits(page: DataFrame, prepared: DataFrame, index: SearchIndex) -> DataF
                                         lambda w: w["text"]).alias("prefixes"))
     small = fits_broadcast(prepared, 2000)  # times at most 100 hits each
     docs = index.documents.drop("score")
-    shown = lookup_join(docs, page, ["site", "doc_id"], ["doc_id"], fits=small)
+    shown = docs.join(F.broadcast(page) if small else page, ["site", "doc_id"])
     shown = K.first_per_url(shown).join(marks, "query_id")
     marked = {name: highlight(F.col(name), F.col("words"), F.col("stems"), F.col("prefixes"))
               for name in ("title", "section_title", "body")}
@@ -155,6 +155,6 @@ def search(index: SearchIndex, requests: DataFrame, default_site: str, landing_p
         landing = landing_hits(usable, landing_pages).select(*columns)
         hits = hits.join(landing.select("query_id", "url"), ["query_id", "url"], "left_anti") \
             .select(*columns).unionByName(landing)
-    counted = prepared.select("query_id", "status", "qkey").join(K.totals(scored), "qkey", "left")
+    counted = lookup_join(prepared.select("query_id", "status", "qkey"), K.totals(scored), ["qkey"], ["query_id"], "left")
     request_totals = counted.select("query_id", "status", F.coalesce("total", F.lit(0)).alias("total"))
     return SearchResult(hits, request_totals, scored, prepared)
