@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pagesearch.llm import quality
+from pagesearch.llm import jaccard, quality
 from pagesearch.workload import Check, table
 
 CHECKS: dict[str, Check] = {
     "op2_quality_rules": Check(
         lambda spark, folder: quality.op2_quality_rules(table(spark, folder, "documents")), quality.SQL),
+    "op9_ngram_jaccard": Check(
+        lambda spark, folder: jaccard.jaccard_components(table(spark, folder, "documents")), jaccard.SQL),
 }
