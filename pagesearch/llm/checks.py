@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagesearch.llm import jaccard, quality
+from pagesearch.llm import jaccard, pii, quality
 from pagesearch.workload import Check, table
 
 CHECKS: dict[str, Check] = {
@@ -10,4 +10,5 @@ CHECKS: dict[str, Check] = {
         lambda spark, folder: quality.op2_quality_rules(table(spark, folder, "documents")), quality.SQL),
     "op9_ngram_jaccard": Check(
         lambda spark, folder: jaccard.jaccard_components(table(spark, folder, "documents")), jaccard.SQL),
+    "op10_pii": Check(lambda spark, folder: pii.op10_pii(table(spark, folder, "documents"))),
 }
