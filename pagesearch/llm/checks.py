@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagesearch.llm import jaccard, pii, quality
+from pagesearch.llm import jaccard, mixing, packing, pii, quality
 from pagesearch.workload import Check, table
 
 CHECKS: dict[str, Check] = {
@@ -11,4 +11,6 @@ CHECKS: dict[str, Check] = {
     "op9_ngram_jaccard": Check(
         lambda spark, folder: jaccard.jaccard_components(table(spark, folder, "documents")), jaccard.SQL),
     "op10_pii": Check(lambda spark, folder: pii.op10_pii(table(spark, folder, "documents"))),
+    "op4_source_mixing": Check(lambda spark, folder: mixing.op4_source_mixing(table(spark, folder, "documents"))),
+    "op3_bestfit_packing": Check(lambda spark, folder: packing.pack(table(spark, folder, "documents"))),
 }
