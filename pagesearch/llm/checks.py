@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagesearch.llm import jaccard, mixing, packing, pii, quality
+from pagesearch.llm import jaccard, licenses, mixing, packing, pii, quality, sharding
 from pagesearch.workload import Check, table
 
 CHECKS: dict[str, Check] = {
@@ -13,4 +13,6 @@ CHECKS: dict[str, Check] = {
     "op10_pii": Check(lambda spark, folder: pii.op10_pii(table(spark, folder, "documents"))),
     "op4_source_mixing": Check(lambda spark, folder: mixing.op4_source_mixing(table(spark, folder, "documents"))),
     "op3_bestfit_packing": Check(lambda spark, folder: packing.pack(table(spark, folder, "documents"))),
+    "op1_license_scan": Check(lambda spark, folder: licenses.op1_license_scan(table(spark, folder, "documents")), licenses.SQL),
+    "op5_lpt_sharding": Check(lambda spark, folder: sharding.op5_lpt_sharding(table(spark, folder, "documents"))),
 }
