@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagesearch.llm import jaccard, licenses, mixing, packing, pii, quality, sharding
+from pagesearch.llm import fingerprints, jaccard, licenses, mixing, packing, pii, quality, sharding, token_counts, toxicity
 from pagesearch.workload import Check, table
 
 CHECKS: dict[str, Check] = {
@@ -15,4 +15,9 @@ CHECKS: dict[str, Check] = {
     "op3_bestfit_packing": Check(lambda spark, folder: packing.pack(table(spark, folder, "documents"))),
     "op1_license_scan": Check(lambda spark, folder: licenses.op1_license_scan(table(spark, folder, "documents")), licenses.SQL),
     "op5_lpt_sharding": Check(lambda spark, folder: sharding.op5_lpt_sharding(table(spark, folder, "documents"))),
+    "op6_toxicity": Check(lambda spark, folder: toxicity.op6_toxicity(
+        table(spark, folder, "documents"), table(spark, folder, "labels"))),
+    "op7_edit_fingerprints": Check(
+        lambda spark, folder: fingerprints.op7_edit_fingerprints(table(spark, folder, "documents"))),
+    "op8_token_counts": Check(lambda spark, folder: token_counts.op8_token_counts(table(spark, folder, "documents"))),
 }

@@ -114,7 +114,7 @@ def _set_id(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def shingle_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, a, b, n_shingles, keys`` per row: 128-bit id of the set, its size and its routing keys."""
+    """``doc_id, text_hash, a, b, n_shingles, keys`` per row: 128-bit id of the set, its size and its routing keys."""
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Words()
         low, apart = bands(percent, 1 << 16)
@@ -122,17 +122,18 @@ def shingle_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             for part in range(0, len(batch), 500):
                 rows = []
                 piece = batch.iloc[part:part + 500]
-                for doc_id, text in zip(piece["doc_id"], piece["text"], strict=True):
+                for doc_id, text_hash, text in zip(piece["doc_id"], piece["text_hash"], piece["text"], strict=True):
                     shingles = shingle_set(text, hashes)
                     while len(shingles) * 2 >= low[-1]:
                         low, apart = bands(percent, int(low[-1]) * 4)
                     keys = routing_keys(shingles, percent, low, apart) if len(shingles) else []
                     a, b = _set_id(shingles)
-                    rows.append((doc_id, a, b, len(shingles),
+                    rows.append((doc_id, text_hash, a, b, len(shingles),
                                  np.concatenate(keys).view(np.int64) if keys else np.empty(0, dtype=np.int64)))
-                yield pd.DataFrame(rows, columns=["doc_id", "a", "b", "n_shingles", "keys"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "a", "b", "n_shingles", "keys"]).astype({"doc_id": "Int64"})
 
-    return texts(docs).mapInPandas(describe, "doc_id long, a long, b long, n_shingles long, keys array<long>")
+    return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInPandas(
+        describe, "doc_id long, text_hash long, a long, b long, n_shingles long, keys array<long>")
 
 
 def _link_tasks(members: DataFrame, percent: int) -> DataFrame:
@@ -241,6 +242,11 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, block: int = BLO
     smallest unless all are null. A null or empty text has no shingles and links with nothing. Repeated
     rows link with each other. An empty table gives an empty result; other columns are ignored.
     """
+    return labelled(docs, percent, block).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """As ``jaccard_components``, with the row's ``text_hash`` and ``component``, a key that no two components share."""
     sets = materialize(shingle_sets(docs, percent), "shingle-sets")
     own = materialize(sets.where("n_shingles > 0").groupBy("a", "b")
                       .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "own-sets")
@@ -257,9 +263,37 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, block: int = BLO
     rooted = own.join(roots, own["a"] == roots["node"], "left")
     least = (rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")))
     labels = materialize(rooted.join(least, "root", "left")
-                         .select("a", "b", F.coalesce("least", "doc_id").alias("component_id")), "labels")
+                         .select("a", "b", F.coalesce("root", "a").alias("component"),
+                                 F.coalesce("least", "doc_id").alias("component_id")), "labels")
     return (sets.join(labels, ["a", "b"], "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", "text_hash", "n_shingles", "component",
+                    F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: of its smallest id, then of the smallest hash of the text.
+
+    Rows without shingles all stay, as nothing links them. All columns stay; of rows with one id and text,
+    any one stays. Only the keys of rows that go meet the documents again.
+    """
+    rows = materialize(labelled(docs).where("n_shingles > 0").select("doc_id", "text_hash", "component"), "components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    kept = rows.groupBy("component").agg(first.alias("kept"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
+    judged = materialize(rows.join(kept, "component").groupBy("doc_id", "text_hash")
+                         .agg(F.max(same).alias("stays"), F.count(F.lit(1)).alias("copies"))
+                         .where("not stays or copies > 1"), "judged")
+    marked = judged.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays")
+    if fits_broadcast(marked):
+        marked = F.broadcast(marked)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                        F.col("doc_id").cast("long").alias("_key"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    met = keyed["_key"].eqNullSafe(marked["_id"]) & (keyed["_text"] == marked["_hash"])
+    single = keyed.join(marked, met, "left_anti").select("_row.*")
+    if not judged.where("stays").head(1):
+        return single
+    repeated = keyed.join(marked.where("stays"), met, "left_semi").dropDuplicates(["_key", "_text"]).select("_row.*")
+    return single.unionByName(repeated)
 
 
 SQL = r"""

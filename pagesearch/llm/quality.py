@@ -75,13 +75,25 @@ def ledger(docs: DataFrame) -> DataFrame:
     """``doc_id``, the measurements and ``fail_bits`` of every row of ``docs(doc_id, text)``.
 
     A null text counts as empty. Repeated rows and ids give one row each; other columns are ignored.
-    Windows are compared by a 64-bit hash within one text.
+    Windows are compared by a 64-bit hash within one text. No rows give no rows.
     """
+    return _measured(texts(docs), "doc_id")
+
+
+def kept_documents(docs: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """The rows of ``docs`` that a policy (the newest by default) keeps, with all their columns and no others."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string"))
+    judged = apply_policy(_measured(rows, "_row"), policy or POLICIES[max(POLICIES)])
+    # a filter would be pushed below the measurements and take each of them once per rule
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")).select("_row.*")
+
+
+def _measured(rows: DataFrame, carried: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    split = texts(docs).select("doc_id", text.alias("text"), words_of(text).alias("words"))
+    split = rows.select(carried, text.alias("text"), words_of(text).alias("words"))
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(rf"[^{SPACE}]"))
     measured = split.select(
-        "doc_id",
+        carried,
         F.size("words").cast("long").alias("n_words"),
         _kept_chars(F.col("text"), rf"[{SPACE}]+").alias("word_chars"),
         _kept_chars(F.col("text"), r"[^#*$%&|<>]+").alias("n_symbols"),
@@ -95,7 +107,7 @@ def ledger(docs: DataFrame) -> DataFrame:
         "n_dup_lines": (F.col("_lines.all") - F.col("_lines.own")).cast("long")})
     bits = sum((F.when(F.expr(rule), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, (_, rule) in enumerate(RULES)),
                F.lit(0))
-    return measured.select("doc_id", *MEASURES, bits.cast("long").alias("fail_bits"))
+    return measured.select(carried, *MEASURES, bits.cast("long").alias("fail_bits"))
 
 
 def apply_policy(rows: DataFrame, policy: Policy) -> DataFrame:
