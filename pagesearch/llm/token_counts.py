@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesearch.llm.common import texts
-from pagesearch.llm.tokens import CACHE_WORDS, _END, _LETTERS, _plain, _spelled, load
+from pagesearch.llm.tokens import _END, _LETTERS, Generations, _plain, _spelled, load
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -26,7 +26,7 @@ _SPLIT = re.compile(r"(?<=\S) ")
 _IRREGULAR = re.compile(r"\s ")
 
 
-class Counter(dict):
+class Counter(Generations):
     """Tokens of a word behind one space (key: the word), for a tokenizer that keeps white space."""
 
     def __init__(self, name: str = TOKENIZER):
@@ -40,17 +40,12 @@ class Counter(dict):
     def _count(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def __missing__(self, word: str) -> int:
+    def make(self, word: str) -> int:
         if word and _plain(word):
-            count = len(self.model.tokenize(_LETTERS[32] + _spelled(word)))
-        elif len(word) > 1 and word[-1] in _END and _plain(word[:-1]):
-            count = self[word[:-1]] + 1
-        else:
-            count = self._count(" " + word)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = count
-        return count
+            return len(self.model.tokenize(_LETTERS[32] + (word if word.isascii() else _spelled(word))))
+        if len(word) > 1 and word[-1] in _END and _plain(word[:-1]):
+            return self[word[:-1]] + 1
+        return self._count(" " + word)
 
     def short(self, text: str) -> int:
         """Count by parts: a space behind anything but white space always starts a piece of its own."""

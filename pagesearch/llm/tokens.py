@@ -7,14 +7,15 @@ of a text are those of its parts in order. Distinct parts are encoded once per w
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 
-import numpy as np
 import public_tokenizers
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
 from tokenizers import Tokenizer  # noqa: E402
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 350_000   # per generation; two are held
 _END = ".,;:!?"
 
 
@@ -35,14 +36,35 @@ _LETTERS = _byte_letters()
 
 def _plain(word: str) -> bool:
     """Letters of Latin-1 only: one piece for both tokenizers, already composed, lower-cased letter by letter."""
-    return word.isalpha() and max(word) < "Ā"
+    return word.isalpha() and (word.isascii() or max(word) < "Ā")
 
 
 def _spelled(word: str) -> str:
     return "".join([_LETTERS[b] for b in word.encode()])
 
 
-class WordIds(dict):
+class Generations(dict):
+    """A bounded cache: when it is full it becomes the old generation, from which words in use come back."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class WordIds(Generations):
     """Word (bytes, no white space) to its ids as little-endian 32-bit numbers, for a tokenizer that drops white space."""
 
     def __init__(self, name: str):
@@ -50,24 +72,26 @@ class WordIds(dict):
         self.tokenizer = load(name)
         self.model = self.tokenizer.model
 
-    def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        numbers = array("I", ids)
+        if sys.byteorder == "big":
+            numbers.byteswap()
+        return numbers.tobytes()
 
     def _encode(self, word: str) -> bytes:
         if _plain(word):
-            return self._packed([t.id for t in self.model.tokenize(_spelled(word.lower()))])
+            spelled = word.lower()
+            if not spelled.isascii():
+                spelled = _spelled(spelled)
+            return self._packed([t.id for t in self.model.tokenize(spelled)])
         return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
-    def __missing__(self, word: bytes) -> bytes:
+    def make(self, word: bytes) -> bytes:
         text = word.decode()
         if text[-1] in _END and _plain(text[:-1]):
-            ids = self[text[:-1].encode()] + self[text[-1].encode()]
-        else:
-            ids = self._encode(text)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
+            return self[text[:-1].encode()] + self[text[-1].encode()]
+        return self._encode(text)
 
 
 _word_ids: dict[str, WordIds] = {}
