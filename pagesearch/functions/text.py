@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 from functools import reduce
+from html.entities import html5
 from operator import or_
 
 from pyspark.sql import Column, functions as F
@@ -18,16 +20,23 @@ WHITESPACE = "".join(map(chr, [
 PUNCTUATION = r"""[,.<>{}\[\]\\"':;!@#$%^&*()\-+=~]"""
 # A token is a run of characters that are neither space nor ASCII punctuation (the underscore
 # joins); a backslash keeps the punctuation after it inside the token. Listing the characters one by
-# one makes the regex engine test them in one table look-up. Runs are matched whole, and a token is
-# at most 400 runs and escapes, so the engine's recursion stays shallow on junk.
+# one makes the regex engine test them in one table look-up. Possessive repeats run in a loop, not in
+# recursion, so a token may be of any length.
 SEPARATORS = r"""\t\n\f\r !"#$%&'()*+,\-./:;<=>?@\[\\\]\^`{|}~"""
-TOKEN = rf"((?:[^{SEPARATORS}]+|\\[^\p{{L}}\p{{N}}\s]){{1,400}})"
+TOKEN = rf"((?:[^{SEPARATORS}]++|\\[^\p{{L}}\p{{N}}\s])++)"
+
+REGEX_SIGNS = set(r".^$*+?{}[]\|()")
 
 # Index terms that are not plain tokens carry a mark with a space, which no token can contain.
 STEM_MARK = "+ "
 SYNONYM_MARK = "~ "
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     return F.trim(text, F.lit(WHITESPACE))
 
@@ -35,12 +44,12 @@ def strip(text: Column) -> Column:
 def literal_pattern(terms: Sequence[str]) -> str:
     """Alternation of the literal terms, each a regular expression matched in any case.
 
-    When all start with a plain letter or digit, a look-ahead on these characters skips most of
-    the text without trying every term.
+    When no term can start with anything but its first letter or digit, a look-ahead on these
+    characters skips most of the text without trying every term.
     """
     starts = sorted({term[0] for term in terms})
     either = "|".join(terms)
-    if all(start.isalnum() for start in starts):
+    if all(term[0].isalnum() and not REGEX_SIGNS & set(term[:2]) and "|" not in term for term in terms):
         return f"(?iud)(?=[{''.join(starts)}])(?:{either})"
     return f"(?iud){either}"
 
@@ -51,6 +60,7 @@ def escape_literals(text: Column, terms: Sequence[str]) -> Column:
     The text is cut at the matches, each match is escaped, and both are laced together again; a
     term may match inside a word. A text without a match passes through.
     """
+    terms = [term for term in terms if term]
     if not terms:
         return text
     pattern = literal_pattern(terms)
@@ -97,19 +107,33 @@ def stem(token: Column) -> Column:
     )
 
 
-# Entities decoded by the native path; the ampersand comes last.
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ",
-    "&copy;": "©", "&reg;": "®", "&middot;": "·", "&mdash;": "—",
-    "&ndash;": "–", "&hellip;": "…", "&amp;": "&",
-}
+# every named reference of HTML that ends in a semicolon, as the standard library lists them
+NAMED = json.dumps({name[:-1]: char for name, char in html5.items() if name.endswith(";")})
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 MARKUP = r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->|<!doctype[^>]*>|<[^>]+>"
 
 
+def _referred(reference: Column) -> Column:
+    """The character of one reference; what stands for none stays as it is."""
+    inside = F.substring(reference, F.lit(2), F.length(reference) - 2)
+    number = F.when(inside.rlike("^#[0-9]"), F.conv(F.substring(inside, F.lit(2), F.lit(7)), 10, 16)) \
+        .when(inside.rlike("^#[xX]"), F.upper(F.substring(inside, F.lit(3), F.lit(6))))
+    valid = F.lpad(number, 8, "0")
+    known = (valid > "00000000") & (valid <= "0010FFFF") & ~valid.between("0000D800", "0000DFFF")
+    named = F.try_element_at(F.from_json(F.lit(NAMED), "map<string,string>"), inside)
+    return F.coalesce(F.when(known, F.decode(F.unhex(valid), "UTF-32")),
+                      F.when(~F.startswith(inside, F.lit("#")), named), reference)
+
+
 def decode_entities(text: Column) -> Column:
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Decode named and numeric character references once, from left to right."""
+    def decoded(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))
+        laced = F.zip_with(F.split(t, REFERENCE, -1), found,
+                           lambda gap, hit: F.concat(gap, F.coalesce(_referred(hit), F.lit(""))))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(laced, "")).otherwise(t)
+
+    return let(text, decoded)
 
 
 def element_text(html: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from pagesearch.functions.text import let
+
 
 def trim_slashes(url: Column) -> Column:
     return F.regexp_replace(url, r"/+\z", "")
@@ -30,8 +32,36 @@ def join_url(root: Column, path: Column) -> Column:
     return F.concat(trim_slashes(root), F.lit("/"), F.regexp_replace(path, r"\A/+", ""))
 
 
-def resolve_link(page_url: Column, href: Column) -> Column:
-    """Absolute form of a link found on a page; null for links that are not pages."""
+def fold_dots(url: Column) -> Column:
+    """An absolute URL without ``.`` and ``..`` in its path; query and fragment stay as they are."""
+    def upward(seen: Column) -> Column:
+        return F.slice(seen, F.lit(1), F.greatest(F.size(seen) - 1, F.lit(1)))
+
+    def folded(path: Column) -> Column:
+        parts = F.aggregate(
+            F.split(path, "/", -1), F.array().cast("array<string>"),
+            lambda seen, part: F.when(part == "..", upward(seen)).when(part == ".", seen).otherwise(F.concat(seen, F.array(part))))
+        return F.concat(F.array_join(parts, "/"), F.when(path.rlike(r"/\.{1,2}\z"), "/").otherwise(""))
+
+    def rebuilt(u: Column) -> Column:
+        part = lambda number: F.regexp_extract(u, r"(?s)\A([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)([^?#]*)(.*)\z", number)
+        return F.when(u.rlike(r"\A[^?#]*/\.{1,2}(?:[/?#]|\z)"), F.concat(part(1), let(part(2), folded), part(3))).otherwise(u)
+
+    return let(url, rebuilt)
+
+
+def resolve_link(page_url: Column, href: Column, base_href: Column | None = None) -> Column:
+    """Absolute form of a link found on a page; null for links that are not pages.
+
+    ``base_href`` is the page's ``<base href>``, null or empty when it has none.
+    """
+    if base_href is None:
+        return fold_dots(_absolute(page_url, href))
+    from_base = F.coalesce(F.when(base_href != "", _absolute(page_url, base_href)), page_url)
+    return let(from_base, lambda base: let(href, lambda link: fold_dots(_absolute(base, link))))
+
+
+def _absolute(page_url: Column, href: Column) -> Column:
     scheme = F.regexp_extract(page_url, r"\A(https?):", 1)
     folder = F.regexp_replace(
         F.regexp_replace(page_url, r"[?#].*\z", ""), r"\A(https?://[^/]+)(/.*/|/)?.*\z", "$1$2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagesearch.config import SiteConfig
-from pagesearch.functions.text import decode_entities, element_text, prepare_text
+from pagesearch.functions.text import decode_entities, element_text, let, prepare_text
 from pagesearch.functions.urls import normalize_url, url_section
 
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
@@ -23,13 +23,28 @@ def page_title(raw: Column, terms=()) -> Column:
     return prepare_text(F.substring_index(raw, "|", 1), terms, strip_symbols=True)
 
 
+def element_content(html: Column, tag: str) -> Column:
+    """Inside of the first element of a tag, nested ones of the same tag included; null when there is none.
+
+    The text behind the opening tag is cut before every tag of that name; the pieces up to the one
+    that closes the first belong to it. An element that never closes ends with the page.
+    """
+    opening, start, end = rf"(?i)<{tag}(?:\s[^>]*)?>", rf"(?i)\A<{tag}[\s>]", rf"(?i)\A</{tag}\s*>"
+    def step(seen: Column, piece: Column) -> Column:
+        depth = seen["depth"] + F.when(piece.rlike(end), -1).when(piece.rlike(start), 1).otherwise(0)
+        inside = (seen["depth"] > 0) & (depth > 0)
+        return F.struct(F.when(seen["depth"] > 0, depth).otherwise(0).alias("depth"),
+                        (seen["size"] + F.when(inside, F.length(piece)).otherwise(0)).alias("size"))
+
+    nothing = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size"))
+    cuts = rf"(?i)(?=<{tag}[\s>]|</{tag}\s*>)"
+    return let(F.get(F.split(html, opening, 2), F.lit(1)), lambda behind: F.left(
+        behind, F.aggregate(F.split(behind, cuts, -1), nothing, step, lambda seen: seen["size"])))
+
+
 def tag_content(html: Column, tags: tuple[str, ...]) -> Column:
     """Inside of the first tag of the list that the page has, in list order, else the whole page."""
-    choices = []
-    for tag in tags:
-        found = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
-        choices.append(F.get(found, F.lit(0)))
-    return F.coalesce(*choices, html)
+    return F.coalesce(*[element_content(html, tag) for tag in tags], html)
 
 
 def page_doc_id(url: Column, body: Column, title: Column) -> Column:

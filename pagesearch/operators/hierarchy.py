@@ -53,7 +53,7 @@ def with_hierarchy(docs: DataFrame) -> DataFrame:
     return joined.withColumn("hierarchy", F.coalesce("_found", empty)).select(*docs.columns)
 
 
-def with_score(docs: DataFrame, config, parsed_hierarchy=None) -> DataFrame:
+def with_score(docs: DataFrame, config) -> DataFrame:
     """Add the document score; see ``SiteConfig.score_hierarchy`` for what the scorers see."""
     from pagesearch.functions.scores import document_score
 

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagesearch.functions.urls import resolve_link
+from pagesearch.functions.text import decode_entities
+from pagesearch.functions.urls import resolve_link, site_of
 from pagesearch.operators.skew import salted_join
 from pagesearch.session import cut_lineage
 
@@ -14,11 +15,18 @@ from pagesearch.session import cut_lineage
 HREF = r"""(?i)<(?:a|area)\s(?:[^>]*\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
+BASE = HREF.replace("(?:a|area)", "base")
+
+
+def _bare(target: Column) -> Column:
+    """A target without its quotes, character references decoded."""
+    return decode_entities(F.regexp_replace(target, r"""\A["']|["']\z""", ""))
+
+
 def hrefs(html: Column) -> Column:
-    """Distinct link targets of a page as written; a page without text has none."""
+    """Distinct link targets of a page, decoded; a page without text has none."""
     found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(HREF), F.lit(1))
-    bare = F.transform(found, lambda link: F.regexp_replace(link, r"""\A["']|["']\z""", ""))
-    return F.array_distinct(F.filter(bare, lambda link: link != ""))
+    return F.array_distinct(F.filter(F.transform(found, _bare), lambda link: link != ""))
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -27,12 +35,29 @@ def extract_links(pages: DataFrame) -> DataFrame:
                         F.explode(hrefs(F.col("html"))).alias("href"))
 
 
+def page_links(pages: DataFrame) -> DataFrame:
+    """Rows ``(page_id, page_url, link_url)``: the absolute links of all pages, as a browser resolves them."""
+    base = _bare(F.regexp_extract(F.coalesce("html", F.lit("")), BASE, 1)).alias("base_href")
+    based = pages.select("page_id", F.col("url").alias("page_url"), base, F.explode(hrefs(F.col("html"))).alias("href"))
+    return _resolved(based, F.col("base_href"))
+
+
 def resolve_links(links: DataFrame) -> DataFrame:
-    target = resolve_link(F.col("page_url"), F.trim(F.col("href")))
+    """``page_links`` of rows ``(page_id, page_url, href)`` from pages without a base."""
+    return _resolved(links, None)
+
+
+def _resolved(links: DataFrame, base: Column | None) -> DataFrame:
+    target = resolve_link(F.col("page_url"), F.trim(F.col("href")), base)
     resolved = links.withColumn("link_url", target).filter(F.col("link_url").isNotNull())
     return resolved.select("page_id", "page_url", "link_url").distinct()
 
 
+def same_site(links: DataFrame) -> DataFrame:
+    """The links that stay on their own page's site (scheme and host)."""
+    return links.filter(site_of(F.col("link_url")) == site_of(F.col("page_url")))
+
+
 def allow_deny(url: Column, allow: Sequence[str], deny: Sequence[str]) -> Column:
     """True when any allow pattern is found in the URL (or there is none) and no deny pattern is."""
     kept = F.lit(True)
@@ -47,7 +72,8 @@ def crawl_order(edges: DataFrame, roots: DataFrame, max_rounds: int | None = Non
     """Breadth-first visit of ``edges(src, dst)`` from ``roots(url)``: rows ``(url, depth)``.
 
     Every round joins only the new URLs with the edges. The edges of a hub page are spread over
-    salts, targets are made distinct before the shuffle, and each round is checkpointed.
+    salts, targets are made distinct before the shuffle, and each round is checkpointed once:
+    what was visited is the union of the rounds, which is read and never written again.
     """
     frontier = cut_lineage(roots.select("url").distinct().withColumn("depth", F.lit(0)))
     visited, depth = frontier, 0
@@ -58,5 +84,5 @@ def crawl_order(edges: DataFrame, roots: DataFrame, max_rounds: int | None = Non
         frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(frontier))
+        visited = visited.unionByName(frontier)
     return visited

@@ -80,11 +80,15 @@ def open_index(store: IndexStore, config: SiteConfig, buckets: int = 64,
 def reindex(pages: DataFrame, config: SiteConfig, store: IndexStore, parser: Parser = parse_documents,
             buckets: int = 64) -> DataFrame | None:
     """Build, publish and clean up one alias; returns the ids that became stale, None if nothing was found."""
+    return publish(store, store_index(enrich(parser(pages, config), config), config, store, buckets))
+
+
+def publish(store: IndexStore, version: str) -> DataFrame | None:
+    """Move the alias to a version and drop the older ones; the ids that became stale are written before these go."""
     before = store.read("documents") if store.current() else None
-    version = store_index(enrich(parser(pages, config), config), config, store, buckets)
     if not store.publish_unless_empty(version):
         return None
     seen = store.read("documents", version)
-    if before is None:
-        return seen.select("doc_id").limit(0)
-    return stale_documents(before, seen)
+    stale = seen.select("doc_id").limit(0) if before is None else materialize(stale_documents(before, seen), "stale")
+    store.drop_old_versions()
+    return stale

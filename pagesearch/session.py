@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -74,6 +76,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = 200_000) -> bool:
-    """Count at most ``max_rows + 1`` rows; a side is broadcast only when this holds."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64_000_000) -> bool:
+    """Count rows and bytes, by partial sums in every task; a side is broadcast only when both are few."""
+    size = F.lit(0)
+    for field in df.schema.fields:
+        column, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            width = F.coalesce(F.octet_length(column), F.lit(0)) + 8
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            width = F.octet_length(F.to_json(F.struct(column)))
+        else:
+            width = F.lit(8)
+        size = size + width
+    held = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("long")).alias("bytes")).first()
+    return held.n <= max_rows and (held.bytes or 0) <= max_bytes

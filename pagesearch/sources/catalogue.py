@@ -23,10 +23,15 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def command_landing_pages(catalogue: DataFrame, site: Column) -> DataFrame:
-    """One page per name without a space, reachable by the name as written and in lower case."""
+    """One page per name without a space, reachable by the name as written and in lower case.
+
+    Names that differ in case share a key; the page of the last in byte order keeps it.
+    """
     low = F.lower("name")
+    columns = ["title", "section_title", "hierarchy", "body", "url"]
+    # The sentence and the breadcrumb of a command without a summary
     default = F.concat(F.lit("Documentation for command '"), low, F.lit("'"))
-    return (
+    pages = (
         catalogue.filter(~F.contains("name", F.lit(" ")))
         .withColumn("query", F.explode(F.array_distinct(F.array("name", low))))
         .select(
@@ -35,6 +40,8 @@ def command_landing_pages(catalogue: DataFrame, site: Column) -> DataFrame:
             F.coalesce("summary", default).alias("body"),
             F.concat(F.lit("/commands/"), low, F.lit("/")).alias("url"))
     )
+    return pages.groupBy("site", "query").agg(F.max(F.struct(*columns)).alias("page")).select(
+        "site", "query", *[f"page.{c}" for c in columns])
 
 
 def configured_landing_pages(spark: SparkSession, site: str, pages: Sequence[LandingPage]) -> DataFrame:

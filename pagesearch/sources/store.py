@@ -8,8 +8,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagesearch.operators.refresh import upsert_latest
-
 POINTER = "CURRENT"
 
 
@@ -30,12 +28,6 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
-def write_documents(docs: DataFrame, path: str, order_by=("page_id",)) -> None:
-    """Upsert sink: one row per key. A large site is split over as many files as its size asks for."""
-    unique = upsert_latest(docs, list(order_by))
-    unique.hint("rebalance", "site").write.mode("overwrite").partitionBy("site").parquet(path)
-
-
 def write_by_term(rows: DataFrame, path: str, buckets: int) -> None:
     """Terms in hash buckets for pruning, sorted by term; a bucket with a hot term spans many files."""
     bucketed = rows.withColumn("term_bucket", term_bucket(F.col("term"), buckets))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagesearch.functions.text import prepare_text
@@ -43,8 +45,10 @@ def index_pages(pages: DataFrame) -> DataFrame:
     """The pages above the documents: one per source, one per source and language."""
     def pages_at(title: Column, *path: str) -> DataFrame:
         rows = pages.select(*path).distinct()
-        return rows.select(F.lit(-1).cast("long").alias("page_id"),
-                           F.concat_ws("/", F.lit(ROOT), *path).alias("url"), title.alias("title"))
+        url = F.concat_ws("/", F.lit(ROOT), *path)
+        # an id of its own below zero, so that validation can drop one page and keep the others
+        page_id = -F.conv(F.substring(F.md5(url), 1, 12), 16, 10).cast("long") - 1
+        return rows.select(page_id.alias("page_id"), url.alias("url"), title.alias("title"))
 
     both = pages_at(F.concat(F.lit("Source "), "source"), "source").unionByName(
         pages_at(F.concat(F.lit("Language "), "lang"), "source", "lang"))
@@ -69,7 +73,7 @@ _stores: dict[tuple[str, str], IndexStore] = {}
 
 def build_index(spark: SparkSession, folder: str, buckets: int = 16) -> IndexStore:
     """Write and publish a new version of the corpus index."""
-    store = IndexStore(spark, work_folder(spark), f"corpus-{abs(hash(folder))}")
+    store = IndexStore(spark, work_folder(spark), f"corpus-{zlib.crc32(folder.encode())}")
     store.publish_unless_empty(store_index(scored_corpus(spark, folder), CORPUS, store, buckets))
     return store
 

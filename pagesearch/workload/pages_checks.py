@@ -35,9 +35,7 @@ _CONTENT = ("coalesce(" + ", ".join(rf"regexp_extract_all(html, '(?is)<{t}(?:\s[
 
 
 def _decoded(x: str) -> str:
-    from pagesearch.functions.text import ENTITIES
-
-    for entity, char in ENTITIES.items():
+    for entity, char in Q.ENTITIES.items():
         x = f"replace({x}, {Q.lit(entity)}, {Q.lit(char)})"
     return x
 
@@ -74,7 +72,7 @@ resolved AS (
 
 
 def resolved(spark: SparkSession, folder: str) -> DataFrame:
-    return L.resolve_links(L.extract_links(pages(spark, folder)))
+    return L.page_links(pages(spark, folder))
 
 
 def allowed(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,9 +104,10 @@ catalogue AS (
   SELECT p_type AS name, CASE WHEN min(p_name) > 'black' THEN 'Largest size ' || max(p_size) END AS summary FROM part GROUP BY p_type
   UNION ALL SELECT DISTINCT p_name, 'a name' FROM part),
 commands AS (
-  SELECT DISTINCT unnest([name, lower(name)]) AS query, name AS title, ['Commands'] AS hierarchy,
+  SELECT DISTINCT ON (query) unnest([name, lower(name)]) AS query, name AS title, ['Commands'] AS hierarchy,
          coalesce(summary, 'Documentation for command ''' || lower(name) || '''') AS body,
-         '/commands/' || lower(name) || '/' AS url FROM catalogue WHERE NOT contains(name, ' '))"""
+         '/commands/' || lower(name) || '/' AS url FROM catalogue WHERE NOT contains(name, ' ')
+  ORDER BY query, title DESC, body DESC)"""
 
 
 def commands(spark: SparkSession, folder: str) -> DataFrame:
@@ -185,8 +184,9 @@ CHECKS = {
         allowed, f"WITH {_LINKS} SELECT page_id, page_url, link_url FROM resolved WHERE regexp_matches(link_url, {Q.lit(_ALLOW)}) "
                  f"AND NOT regexp_matches(link_url, {Q.lit(_DENY)})"),
     "links_same_site": Check(
-        lambda s, d: resolved(s, d).filter(F.startswith("link_url", F.lit(ONE_SITE))),
-        f"WITH {_LINKS} SELECT page_id, page_url, link_url FROM resolved WHERE starts_with(link_url, '{ONE_SITE}')"),
+        lambda s, d: L.same_site(resolved(s, d)),
+        f"WITH {_LINKS} SELECT page_id, page_url, link_url FROM resolved WHERE "
+        "regexp_extract(link_url, '^https?://[^/?#]+') = regexp_extract(page_url, '^https?://[^/?#]+')"),
     "links_from_rejected": Check(
         lambda s, d: resolved(s, d).join(V.rejects(docs(s, d), PAGES.validators).select("page_id").distinct(),
                                          "page_id", "left_semi"),

