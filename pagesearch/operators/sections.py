@@ -141,16 +141,25 @@ def parse_pages(pages: DataFrame, config: SiteConfig) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["page_id", "site", "url", "title", "position", "heading", "text", "error"]
+
+        def table(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=columns).astype({"page_id": "int64", "position": "int32"})
+
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for page in batch.itertuples(index=False):
+                # sections overlap, so what a page yields can be many times its size
+                if held > 4_000_000:
+                    yield table(rows)
+                    rows, held = [], 0
                 key = (page.page_id, page.site, page.url)
                 try:
                     parts = list(page_parts(page.html or "", selectors, header_tags))
                     rows.extend((*key, *part, None) for part in parts)
+                    held += sum(len(part[-1]) for part in parts)
                 except Exception as error:  # a broken page must not fail the load
                     rows.append((*key, None, -1, None, None, f"parse error: {type(error).__name__}"))
-            yield pd.DataFrame(rows, columns=columns).astype({"page_id": "int64", "position": "int32"})
+            yield table(rows)
 
     return pages.select("page_id", "site", "url", "html").mapInPandas(parse, PART_SCHEMA)
 

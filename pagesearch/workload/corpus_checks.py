@@ -138,8 +138,8 @@ CHECKS = {
     "validate_page_atomic": Check(
         lambda s, d: V.keep_valid_pages(corpus_documents(s, d), [("long line", lambda c: (c["type"] == "section") & (F.length(c["body"]) > 1000))])
         .select("page_id", "doc_id"),
-        _DOCS + "SELECT page_id, doc_id FROM docs WHERE page_id NOT IN "
-                "(SELECT page_id FROM docs WHERE type = 'section' AND length(body) > 1000)"),
+        _DOCS + "SELECT page_id, doc_id FROM docs ANTI JOIN "
+                "(SELECT DISTINCT page_id FROM docs WHERE type = 'section' AND length(body) > 1000) AS bad USING (page_id)"),
     "stale_documents": Check(
         lambda s, d: R.stale_documents(corpus_documents(s, d), next_documents(s, d)),
         f"WITH {_NEXT} SELECT DISTINCT doc_id FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM docs2)"),

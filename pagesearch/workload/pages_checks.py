@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pagesearch.config import SiteConfig
 from pagesearch.functions.urls import normalize_url, site_of, url_section
 from pagesearch.operators import extract as X, links as L, sections as S, validate as V
 from pagesearch.functions.text import element_text, prepare_text
@@ -90,6 +91,33 @@ def sections(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "doc_id", "type", "position", "title", "section_title", "body")
 
 
+# one page per document: its lines that hold a word, each below a heading of its own
+BUILT = SiteConfig("https://built.example.org", content_selectors=("main",), header_tags=("h2",), literal_terms=T)
+
+
+def built_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections of pages that are written as HTML from the documents, and read back."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.filter(F.split(escaped, "\n", -1), lambda line: line.rlike("[a-z]"))
+    parts = F.transform(lines, lambda line, i: F.concat(F.lit("<h2>Part "), i.cast("string"), F.lit("</h2><p>"), line, F.lit("</p>")))
+    html = F.concat(F.lit("<html><head><title>Built</title></head><body><nav>menu</nav><main>"), F.array_join(parts, ""),
+                    F.lit("</main></body></html>"))
+    written = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("page_id"), F.lit(BUILT.url).alias("site"),
+        F.concat(F.lit(BUILT.url + "/"), F.col("doc_id").cast("string")).alias("url"), html.alias("html"))
+    found = S.documents_from_parts(S.parse_pages(written, BUILT), BUILT)
+    return found.filter("type = 'section'").select("page_id", "position", "title", "section_title", "body", "doc_id")
+
+
+_BUILT = rf"""
+WITH lines AS (SELECT doc_id AS page_id, unnest(kept) AS line, generate_subscripts(kept, 1) - 1 AS position FROM (
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[a-z]')) AS kept FROM documents)),
+parts AS (SELECT page_id, position::INTEGER AS position, 'Built' AS title, 'Part ' || position AS section_title,
+                 {Q.prepare('line', T)} AS body FROM lines)
+SELECT *, '{BUILT.url}/' || page_id || ':section:' || md5(body || section_title || title || position) AS doc_id FROM parts
+"""
+
+
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """Commands named by part type (with and without a summary) and by part name."""
     part = table(spark, folder, "part")
@@ -168,6 +196,7 @@ CHECKS = {
     "page_doc_id": Check(
         lambda s, d: docs(s, d).select("page_id", "doc_id"), f"WITH {_DOCS} SELECT page_id, doc_id FROM docs"),
     "html_sections": Check(sections),
+    "html_sections_built": Check(built_sections, _BUILT),
     "command_landing_pages": Check(
         lambda s, d: _landing(commands(s, d)),
         f"WITH {_CATALOGUE} SELECT query, title, array_to_string(hierarchy, ' > ') AS hierarchy, body, url FROM commands"),

@@ -326,7 +326,11 @@ CHECKS = {
                    "CASE WHEN section_title <> '' THEN '[' || section_title || ']' || chr(10) ELSE '' END || url || chr(10) || "
                    "CASE WHEN body = '' THEN 'NO BODY' ELSE body END AS report FROM results"),
     "search_response": Check(
-        lambda s, d: render.responses(answer(s, d).hits, answer(s, d).totals.filter("status = 'ok'").select("query_id", "total"))),
+        lambda s, d: render.responses(answer(s, d).hits, answer(s, d).totals.filter("status = 'ok'").select("query_id", "total")),
+        _RESULTS + "SELECT query_id, to_json({'total': coalesce(any_value(total), 0), 'results': coalesce(list({'title': title, "
+                   "'section_title': section_title, 'hierarchy': CASE WHEN hierarchy = '' THEN [] ELSE string_split(hierarchy, ' > ') END, "
+                   "'body': body, 'url': url} ORDER BY rank) FILTER (WHERE rank IS NOT NULL), [])})::VARCHAR AS response "
+                   "FROM prepared LEFT JOIN totals USING (qkey) LEFT JOIN results USING (query_id) WHERE ok GROUP BY query_id"),
     "search_end_to_end": Check(
         lambda s, d: flat(fresh_answer(s, d).hits),
         _RESULTS + "SELECT query_id, rank, title, section_title, hierarchy, body, url FROM results"),
