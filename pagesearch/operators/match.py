@@ -25,6 +25,7 @@ from pagesearch.session import fits_broadcast, materialize
 from pagesearch.sources.store import term_bucket
 
 ALTERNATIVE = ["site", "kind", "text", "field"]
+PUSHED_TERMS = 1_000
 
 
 def exact_terms(text: Column, field: Column, config: SiteConfig) -> Column:
@@ -106,9 +107,10 @@ def slot_terms(slots: DataFrame, index: SearchIndex, asked: SlotProfile) -> Data
 def postings_of(terms: DataFrame, index: SearchIndex, asked: SlotProfile) -> DataFrame:
     """The postings of the wanted terms.
 
-    Terms that fit a broadcast also name the hash buckets to read; the list of buckets is at most
-    as long as the index has buckets. More terms than that are joined salted by document, so the
-    postings of one hot term are spread over tasks.
+    Terms that fit a broadcast also name the hash buckets to read, and up to ``PUSHED_TERMS`` of
+    them are pushed to the scan: files are sorted by term, so other row groups are skipped. More
+    terms than a broadcast holds are joined salted by document, so the postings of one hot term
+    are spread over tasks.
     """
     open_ended = {"prefix", "fuzzy"} & set(asked.lengths)
     small = asked.fits and (not open_ended or fits_broadcast(terms))
@@ -118,6 +120,9 @@ def postings_of(terms: DataFrame, index: SearchIndex, asked: SlotProfile) -> Dat
     if index.buckets is not None:
         buckets = terms.select(term_bucket(F.col("term"), index.buckets)).distinct().collect()
         rows = rows.filter(F.col("term_bucket").isin([row[0] for row in buckets]))
+        named = terms.select("term").distinct().take(PUSHED_TERMS + 1)
+        if len(named) <= PUSHED_TERMS:
+            rows = rows.filter(F.col("term").isin([row[0] for row in named]))
     return rows.join(F.broadcast(terms), ["site", "term"])
 
 
@@ -126,9 +131,19 @@ def _in_field(value: Column) -> Column:
     return F.filter("fields", lambda f: (value == "") | (f["field"] == value))
 
 
-def word_documents(terms: DataFrame, index: SearchIndex, asked: SlotProfile) -> DataFrame:
+def _only(hit: DataFrame, candidates: DataFrame | None) -> DataFrame:
+    """Postings of candidate documents ``(site, doc_id)``, or all."""
+    if candidates is None:
+        return hit
+    if fits_broadcast(candidates):
+        candidates = F.broadcast(candidates)
+    return hit.join(candidates, ["site", "doc_id"], "left_semi")
+
+
+def word_documents(terms: DataFrame, index: SearchIndex, asked: SlotProfile,
+                   candidates: DataFrame | None = None) -> DataFrame:
     """Rows ``(site, kind, text, field, doc_id, doc_score, part, positions)``: one per alternative and document."""
-    hit = postings_of(terms, index, asked)
+    hit = _only(postings_of(terms, index, asked), candidates)
     used = hit.withColumn("_used", _in_field(F.col("field"))).filter(F.size("_used") > 0)
     wtf = F.aggregate("_used", F.lit(0.0), lambda total, f: total + f["wtf"])
     positions = F.flatten(F.transform("_used", lambda f: f["positions"]))
@@ -138,14 +153,15 @@ def word_documents(terms: DataFrame, index: SearchIndex, asked: SlotProfile) ->
         F.sum("part").alias("part"), F.flatten(F.collect_list("positions")).alias("positions"))
 
 
-def phrase_documents(slots: DataFrame, index: SearchIndex, asked: SlotProfile) -> DataFrame:
+def phrase_documents(slots: DataFrame, index: SearchIndex, asked: SlotProfile,
+                     candidates: DataFrame | None = None) -> DataFrame:
     """Like ``word_documents`` for phrases: words at consecutive positions of one field."""
     phrases = slots.filter(F.col("kind") == "phrase").select(*ALTERNATIVE).distinct() \
         .withColumn("words", F.split("text", " ")).withColumn("n_words", F.size("words"))
     words = phrases.select(*ALTERNATIVE, "n_words", F.posexplode("words").alias("at", "term"))
     known = lookup_join(index.terms, words, ["site", "term"], ["term"]).join(index.sites, "site") \
         .withColumn("idf", F.log2(1 + (F.col("n_docs") + 1) / F.col("df")))
-    hit = postings_of(known, index, SlotProfile(asked.total, {"phrase": asked.lengths["phrase"]}))
+    hit = _only(postings_of(known, index, SlotProfile(asked.total, {"phrase": asked.lengths["phrase"]})), candidates)
     shifted = hit.select(
         *ALTERNATIVE, "n_words", "at", "doc_id", "doc_score", (F.col("idf") / F.col("max_wtf")).alias("unit"),
         F.inline(_in_field(F.col("field")).alias("used")).alias("in_field", "tf", "wtf", "positions")) \
@@ -189,18 +205,13 @@ def slop(ordered: Column) -> Column:
 def match(slots: DataFrame, index: SearchIndex) -> DataFrame:
     """Rows ``(qkey, site, doc_id, doc_score, base, slop)`` of the documents that fill every must slot.
 
-    The must slot whose terms have the fewest documents drives: only its documents become
-    candidates, and the other slots are looked up by alternative *and* document. A term that a
-    third of all documents hold is thus not multiplied by the queries that use it beside a rare one.
-    ``slots`` should be a stored table; the matches of each alternative are written, as both the
-    driving slots and the look-ups read them.
+    The must slot whose terms have the fewest documents drives, as the dictionary says before any
+    postings are read: only its documents become candidates. The postings of the other slots are cut
+    down to candidate documents as they are read, before they are grouped, so a term that a third of
+    all documents hold costs little beside a rare one. ``slots`` should be a stored table.
     """
     asked = profile(slots)
     terms = materialize(slot_terms(slots, index, asked), "slot_terms")
-    found = word_documents(terms, index, asked)
-    if "phrase" in asked.lengths:
-        found = found.unionByName(phrase_documents(slots, index, asked))
-    found = materialize(found, "slot_documents")
     must = slots.filter(F.col("occur") == "must")
     sizes = terms.groupBy(*ALTERNATIVE).agg(F.sum("df").alias("df"))
     # the size of a phrase is not known from the dictionary, so any other slot is preferred
@@ -209,16 +220,29 @@ def match(slots: DataFrame, index: SearchIndex) -> DataFrame:
     drivers = per_slot.groupBy("qkey").agg(
         F.min(F.struct("df", "slot")).alias("least"), F.count("*").alias("n_must")) \
         .select("qkey", F.col("least.slot").alias("driver"), "n_must")
-    planned = slots.join(drivers, "qkey").withColumn("drives", F.col("slot") == F.col("driver")).drop("driver")
-    led = lookup_join(found, planned.filter("drives").drop("drives"), ALTERNATIVE, ["doc_id"],
-                      fits=asked.fits)
+    planned = materialize(
+        slots.join(drivers, "qkey").withColumn("drives", F.col("slot") == F.col("driver")).drop("driver"), "planned")
+
+    def documents(part: DataFrame, candidates: DataFrame | None) -> DataFrame:
+        """The matches of the alternatives of some slots, in all documents or in the candidates."""
+        own = part.select(*ALTERNATIVE).distinct()
+        found = word_documents(terms.join(own, ALTERNATIVE, "left_semi"), index, asked, candidates)
+        if "phrase" in asked.lengths:
+            found = found.unionByName(phrase_documents(part, index, asked, candidates))
+        return found
+
     columns = ["qkey", "site", "doc_id", "doc_score", "n_must", "slot", "occur", "part", "positions"]
-    led = led.select(*columns)
-    candidates = led.select("qkey", "site", "doc_id").distinct()
-    others = planned.filter(~F.col("drives")).drop("drives")
-    wanted = lookup_join(candidates, others, ["qkey", "site"], ["doc_id"], fits=asked.fits)
-    rest = wanted.join(found, [*ALTERNATIVE, "doc_id"]).select(*columns)
-    per_slot_hit = led.unionByName(rest).groupBy(
+    leading, others = planned.filter("drives").drop("drives"), planned.filter(~F.col("drives")).drop("drives")
+    led = materialize(lookup_join(documents(leading, None), leading, ALTERNATIVE, ["doc_id"], fits=asked.fits)
+                      .select(*columns), "driving_documents")
+    hits = led
+    if others.head(1):
+        candidates = materialize(led.select("site", "doc_id").distinct(), "candidates")
+        found = materialize(documents(others, candidates), "slot_documents")
+        wanted = lookup_join(led.select("qkey", "site", "doc_id").distinct(), others, ["qkey", "site"], ["doc_id"],
+                             fits=asked.fits)
+        hits = led.unionByName(wanted.join(found, [*ALTERNATIVE, "doc_id"]).select(*columns))
+    per_slot_hit = hits.groupBy(
         "qkey", "site", "doc_id", "doc_score", "n_must", "slot", "occur").agg(
         F.sum("part").alias("part"), F.flatten(F.collect_list("positions")).alias("positions"))
     is_must = F.col("occur") == "must"

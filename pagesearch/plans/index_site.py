@@ -68,12 +68,15 @@ def store_index(docs: DataFrame, config: SiteConfig, store: IndexStore, buckets:
     write_by_term(built.postings, path("postings"), buckets)
     P.dictionary(store.read("postings", version)).write.mode("overwrite").parquet(path("terms"))
     built.sites.write.mode("overwrite").parquet(path("sites"))
+    store.spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(path("layout"))
     return version
 
 
-def open_index(store: IndexStore, config: SiteConfig, buckets: int = 64,
-               version: str | None = None) -> SearchIndex:
+def open_index(store: IndexStore, config: SiteConfig, version: str | None = None) -> SearchIndex:
+    """The published index, or one version of it; its number of term buckets is stored with it."""
+    version = version or store.current()
     read = lambda table: store.read(table, version)
+    buckets = read("layout").first().buckets
     return SearchIndex(read("documents"), read("postings"), read("terms"), read("sites"), config, buckets)
 
 

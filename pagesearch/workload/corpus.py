@@ -83,4 +83,4 @@ def corpus_index(spark: SparkSession, folder: str, buckets: int = 16) -> SearchI
     key = (spark.sparkContext.applicationId, folder)
     if key not in _stores:
         _stores[key] = build_index(spark, folder, buckets)
-    return open_index(_stores[key], CORPUS, buckets)
+    return open_index(_stores[key], CORPUS)

@@ -13,7 +13,7 @@ from pagesearch.operators.refresh import refresh_diff, upsert_latest
 from pagesearch.plans.index_site import index_documents, open_index, parse_documents, reindex
 from pagesearch.plans import search as P
 from pagesearch.plans.search import search
-from pagesearch.session import fresh_path
+from pagesearch.session import fresh_path, materialize
 from pagesearch.sources.catalogue import configured_landing_pages
 from pagesearch.sources.store import IndexStore
 from pagesearch.streaming import ingest as I
@@ -42,7 +42,7 @@ def store(spark, tmp_path):
 def index(spark, tmp_path_factory):
     kept = IndexStore(spark, str(tmp_path_factory.mktemp("ix")), "docs")
     reindex(page_rows(spark), CONFIG, kept, buckets=4)
-    return open_index(kept, CONFIG, 4)
+    return open_index(kept, CONFIG)
 
 
 def run(spark, index, *queries, **options):
@@ -176,3 +176,27 @@ def test_slop(one, lists):
     gaps = [min(abs(a - b) for a in left for b in right) for left, right in pairwise(lists)]
     want = max(1.0, math.sqrt(sum(g * g for g in gaps)))
     assert one(M.slop(F.col("p").cast("array<array<int>>")), p=[list(x) for x in lists]) == pytest.approx(want)
+
+
+def test_common_words_are_read_for_candidates_only(spark, index, monkeypatch):
+    written = {}
+
+    def keep(df, label):
+        written[label] = materialize(df, label)
+        return written[label]
+
+    monkeypatch.setattr(M, "materialize", keep)
+    assert urls(run(spark, index, "apples v6.2.8")) == ["2"]
+    # one document holds the rare word; the common word's other documents are never grouped or written
+    assert {r.doc_id for r in written["slot_documents"].select("doc_id").collect()} \
+        == {r.doc_id for r in written["driving_documents"].select("doc_id").collect()}
+    assert written["driving_documents"].count() == 1
+
+
+def test_postings_scan_gets_the_terms(spark, index, capsys):
+    slots = spark.createDataFrame([("q", SITE, 0, "must", "exact", "pear", "")],
+                                  "qkey string, site string, slot int, occur string, kind string, text string, field string")
+    asked = M.profile(slots)
+    M.postings_of(M.slot_terms(slots, index, asked), index, asked).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters" in plan and "In(term" in plan.replace("EqualTo(term", "In(term")
