@@ -17,7 +17,7 @@ WEIGHTS = (5, 2, 1)     # of the sources in order, repeating
 SHARE = 1.5             # words of the mix, as a share of all words
 REPEAT = 2              # most times that a source, shard or document is taken
 SEED = 20240229
-ROWS_PER_SHARD = 20_000
+ROWS_PER_SHARD, MOST_SHARDS = 2_000, 20_000
 MOST_BLOCK_WORDS = 256
 
 
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, carried: list[str], seed: int = SEED, rows: int | None
     reruns agree; equal rows are interchangeable. No rows give no rows. ``carried`` may name any columns.
     """
     rows = docs.count() if rows is None else rows
-    shards = max(1, rows // ROWS_PER_SHARD)
+    shards = min(MOST_SHARDS, max(1, rows // ROWS_PER_SHARD))
     source = F.col("source").cast("string")
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     sized = docs.select(
