@@ -38,14 +38,14 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def number_rows(rows: DataFrame, groups: Sequence[str], order: Sequence[str], name: str,
-                rows_per_bucket: int = 100_000) -> DataFrame:
+                rows_per_bucket: int = 5_000, most_buckets: int = 20_000) -> DataFrame:
     """Number the rows of each group from 0 without gaps, without gathering a group in one task.
 
-    Rows are dealt to hash buckets of bounded size, numbered within ``(group, bucket)``, and shifted
+    Rows are dealt to hash buckets (small ones, up to ``most_buckets``), numbered within ``(group, bucket)``, and shifted
     by the rows of the group's earlier buckets. ``groups`` must not hold nulls. ``rows`` should be a
     stored table: it is counted and read twice. Rows equal in ``order`` get numbers in any order.
     """
-    buckets = max(1, -(-rows.count() // rows_per_bucket))
+    buckets = min(most_buckets, max(1, -(-rows.count() // rows_per_bucket)))
     dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     keys = [*groups, "_bucket"]
     counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
