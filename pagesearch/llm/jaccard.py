@@ -261,7 +261,8 @@ def labelled(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK_SHINGLE
         links = links.unionByName(_big_cluster_links(big, docs, percent, block))
     roots = components(links)
     rooted = own.join(roots, own["a"] == roots["node"], "left")
-    least = (rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")))
+    # written first, so that the join can split a component that holds many sets
+    least = materialize(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least-ids")
     labels = materialize(rooted.join(least, "root", "left")
                          .select("a", "b", F.coalesce("root", "a").alias("component"),
                                  F.coalesce("least", "doc_id").alias("component_id")), "labels")
@@ -278,7 +279,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     rows = materialize(labelled(docs).where("n_shingles > 0").select("doc_id", "text_hash", "component"), "components")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    kept = rows.groupBy("component").agg(first.alias("kept"))
+    kept = materialize(rows.groupBy("component").agg(first.alias("kept")), "kept")
     same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
     judged = materialize(rows.join(kept, "component").groupBy("doc_id", "text_hash")
                          .agg(F.max(same).alias("stays"), F.count(F.lit(1)).alias("copies"))
