@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pagesearch.llm import jaccard, mixing, packing, pii, quality
 from pagesearch.session import materialize
 
+NEAR_COPY_WORDS, NEAR_COPY_PERCENT = 5, 80     # op9's own query keeps shingles of 3 words and 90 %
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what passes the current policy, decided in the row: nothing is joined or shuffled."""
@@ -19,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of linked documents."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, NEAR_COPY_PERCENT, NEAR_COPY_WORDS)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,13 +56,13 @@ class Words(dict):
         return value
 
 
-def shingle_set(text: str | None, hashes: Words) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles; of the whole sequence when it is shorter."""
+def shingle_set(text: str | None, hashes: Words, width: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's shingles of ``width`` words; of the whole sequence when it is shorter."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
     if not words:
         return np.empty(0, dtype=np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    k = min(SHINGLE, len(h))
+    k = min(width, len(h))
     with np.errstate(over="ignore"):
         mixed = np.full(len(h) - k + 1, np.uint64(k) * _M3)
         for place in range(k):
@@ -113,7 +113,7 @@ def _set_id(shingles: np.ndarray) -> tuple[int, int]:
                 int(_mix(shingles ^ _M1).sum(dtype=np.uint64).astype(np.int64)))
 
 
-def shingle_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def shingle_sets(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """``doc_id, text_hash, a, b, n_shingles, keys`` per row: 128-bit id of the set, its size and its routing keys."""
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Words()
@@ -123,7 +123,7 @@ def shingle_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 rows = []
                 piece = batch.iloc[part:part + 500]
                 for doc_id, text_hash, text in zip(piece["doc_id"], piece["text_hash"], piece["text"], strict=True):
-                    shingles = shingle_set(text, hashes)
+                    shingles = shingle_set(text, hashes, width)
                     while len(shingles) * 2 >= low[-1]:
                         low, apart = bands(percent, int(low[-1]) * 4)
                     keys = routing_keys(shingles, percent, low, apart) if len(shingles) else []
@@ -136,7 +136,7 @@ def shingle_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         describe, "doc_id long, text_hash long, a long, b long, n_shingles long, keys array<long>")
 
 
-def _link_tasks(members: DataFrame, percent: int) -> DataFrame:
+def _link_tasks(members: DataFrame, percent: int, width: int) -> DataFrame:
     """``u, v``: for each set of a task (column ``task``) the root of its component among the task's sets."""
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Words()
@@ -156,7 +156,7 @@ def _link_tasks(members: DataFrame, percent: int) -> DataFrame:
                     task, ids, sets, seen = row_task, [], [], set()
                 if (a, b) in seen:
                     continue
-                shingles = shingle_set(text, hashes)
+                shingles = shingle_set(text, hashes, width)
                 if _set_id(shingles) != (a, b):
                     continue  # another text under the same document id
                 seen.add((a, b))
@@ -186,7 +186,7 @@ def _with_texts(members: DataFrame, docs: DataFrame) -> DataFrame:
     return texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
-def _big_cluster_links(members: DataFrame, docs: DataFrame, percent: int, block: int) -> DataFrame:
+def _big_cluster_links(members: DataFrame, docs: DataFrame, percent: int, block: int, width: int) -> DataFrame:
     """Links of clusters that one task cannot hold: ``members(cluster, a, b, doc_id, n, weight)``."""
     blocks = F.ceil(F.col("weight") / block)
     # an even spread over the size order; the hash breaks ties of equal sizes
@@ -214,7 +214,7 @@ def _big_cluster_links(members: DataFrame, docs: DataFrame, percent: int, block:
                 .select(task, "a", "b", "doc_id")
                 .unionByName(tiled.join(pairs.withColumn("block", F.col("two")), ["cluster", "block"])
                              .select(task, "a", "b", "doc_id")))
-        return _link_tasks(_with_texts(materialize(both.distinct(), "block-tasks"), docs), percent)
+        return _link_tasks(_with_texts(materialize(both.distinct(), "block-tasks"), docs), percent, width)
 
     p, s = pivot.alias("p"), spans.alias("s")
     pivots = p.join(s, F.col("p.cluster") == F.col("s.cluster")).select(
@@ -245,9 +245,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, block: int = BLO
     return labelled(docs, percent, block).select("doc_id", "n_shingles", "component_id")
 
 
-def labelled(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> DataFrame:
+def labelled(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK_SHINGLES, width: int = SHINGLE) -> DataFrame:
     """As ``jaccard_components``, with the row's ``text_hash`` and ``component``, a key that no two components share."""
-    sets = materialize(shingle_sets(docs, percent), "shingle-sets")
+    sets = materialize(shingle_sets(docs, percent, width), "shingle-sets")
     own = materialize(sets.where("n_shingles > 0").groupBy("a", "b")
                       .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "own-sets")
     routed = clusters(sets)
@@ -255,10 +255,10 @@ def labelled(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK_SHINGLE
     weights = members.groupBy("cluster").agg(F.sum(F.col("n") + POINT).alias("weight"))
     weighed = materialize(members.join(weights, "cluster"), "weighed")
     small = weighed.where(F.col("weight") <= 2 * block).select(F.col("cluster").alias("task"), "a", "b", "doc_id")
-    links = _link_tasks(_with_texts(small, docs), percent)
+    links = _link_tasks(_with_texts(small, docs), percent, width)
     big = weighed.where(F.col("weight") > 2 * block)
     if big.head(1):
-        links = links.unionByName(_big_cluster_links(big, docs, percent, block))
+        links = links.unionByName(_big_cluster_links(big, docs, percent, block, width))
     roots = components(links)
     rooted = own.join(roots, own["a"] == roots["node"], "left")
     # written first, so that the join can split a component that holds many sets
@@ -271,13 +271,13 @@ def labelled(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK_SHINGLE
                     F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each component: of its smallest id, then of the smallest hash of the text.
 
     Rows without shingles all stay, as nothing links them. All columns stay; of rows with one id and text,
     any one stays. Only the keys of rows that go meet the documents again.
     """
-    rows = materialize(labelled(docs).where("n_shingles > 0").select("doc_id", "text_hash", "component"), "components")
+    rows = materialize(labelled(docs, percent, width=width).where("n_shingles > 0").select("doc_id", "text_hash", "component"), "components")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     kept = materialize(rows.groupBy("component").agg(first.alias("kept")), "kept")
     same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))

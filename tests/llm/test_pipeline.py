@@ -39,3 +39,13 @@ def test_stages_take_awkward_and_empty_tables(spark):
             out = stage(spark, table, FOLDER)
             assert number == 4 or out.columns == ["doc_id", "text", "lang", "source", "n_chars", *CLASHING]
             assert (out.count() == 0) == (table is not docs)
+
+
+def test_near_copies_with_scattered_edits_go(spark):
+    words = [f"word{i}" for i in range(200)]
+    edited = [f"edit{i}" if i in (30, 80, 130, 180) else w for i, w in enumerate(words)]     # 176 of 216 shingles of 5 words
+    apart = [f"edit{i}" if i % 40 == 20 else w for i, w in enumerate(words)]                 # 171 of 221
+    rows = [(i + 1, " ".join(t), "en", "s", 0) for i, t in enumerate((words, edited, apart))]
+    assert sorted(c for _, _, c in brute(rows)) == [1, 2, 3]
+    kept = corpus_pipeline.near_copies_stage(spark, awkward(spark, rows), FOLDER)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
