@@ -121,29 +121,35 @@ def _patterns(spans: DataFrame) -> DataFrame:
 def bootstrap(found: DataFrame) -> DataFrame:
     """Confident patterns ``pattern, kind, score`` learnt from ``found(base, words)``.
 
-    Only patterns that surround an entity can score, so the graph is cut down to those before it is
-    iterated. Copies of a text add nothing: edges are distinct pairs of pattern and value.
+    Only patterns that surround an entity of the round can score: seeds first, then also the instances that passed,
+    with all their contexts. Each round's graph is cut down to those patterns. Copies of a text add nothing: edges
+    are distinct pairs of pattern and value.
     """
     seeds = _patterns(found.select(F.explode("base").alias("s")).select("s.kind", "s.value", "s.left", "s.right"))
-    seeds = seeds.distinct()
     unknown = _patterns(found.select(F.explode("words").alias("s")).select("s.value", "s.left", "s.right"))
-    unknown = unknown.select("pattern", "value").distinct()
-    entities = materialize(seeds.select("pattern", "value", "kind", F.lit(1.0).alias("score")), "pii-seeds")
-    edges = materialize(unknown.join(entities.select("pattern").distinct(), "pattern", "left_semi"), "pii-edges")
+    unknown = materialize(unknown.select("pattern", "value").distinct(), "pii-unknown")
+    entities = materialize(seeds.distinct().select("pattern", "value", "kind", F.lit(1.0).alias("score")), "pii-seeds")
     known = materialize(entities.groupBy("pattern").agg(F.countDistinct("value").alias("known")), "pii-known")
-    sizes = materialize(known.join(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("open")), "pattern", "left")
-                        .select("pattern", (F.col("known") + F.coalesce("open", F.lit(0))).alias("instances")), "pii-sizes")
     scored = entities
-    for _ in range(ROUNDS):
-        mass = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
+    for number in range(ROUNDS):
+        mass = materialize(scored.groupBy("pattern", "kind").agg(F.sum("score").alias("mass")), "pii-mass")
+        around = mass.select("pattern").distinct()
+        if fits_broadcast(around):
+            around = F.broadcast(around)
+        edges = materialize(unknown.join(around, "pattern", "left_semi"), "pii-edges")
+        sizes = (edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("open")).join(known, "pattern", "full")
+                 .select("pattern", (F.coalesce("known", F.lit(0)) + F.coalesce("open", F.lit(0))).alias("instances")))
         patterns = materialize(mass.join(sizes, "pattern").select(
             "pattern", "kind", (F.col("mass") / (F.col("instances") + SMOOTHING)).alias("score"))
             .where(F.col("score") >= PATTERN_SCORE), "pii-patterns")
+        if number + 1 == ROUNDS:
+            break
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-12)))))
-        instances = (edges.join(patterns, "pattern").groupBy("value", "kind").agg((1 - doubt).alias("score"))
-                     .where(F.col("score") >= INSTANCE_SCORE))
-        scored = materialize(entities.unionByName(edges.join(instances, "value")
-                                                  .select("pattern", "value", "kind", "score")), "pii-scored")
+        instances = materialize(edges.join(patterns, "pattern").groupBy("value", "kind").agg((1 - doubt).alias("score"))
+                                .where(F.col("score") >= INSTANCE_SCORE), "pii-instances")
+        if fits_broadcast(instances):
+            instances = F.broadcast(instances)
+        scored = entities.unionByName(unknown.join(instances, "value").select("pattern", "value", "kind", "score"))
     return patterns
 
 

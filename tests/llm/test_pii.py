@@ -76,3 +76,16 @@ def test_redacted_documents_hold_no_base_spans(spark):
     untouched = {(r.doc_id, r.text) for r in rows if r.doc_id not in (14, 500)}
     assert {(d, t) for d, t, *_ in awkward_rows() if d != 14} <= untouched
     assert pii.redact(docs.limit(0)).count() == pii.op10_pii(docs.limit(0)).count() == 0
+
+
+def test_found_instances_lead_to_patterns_without_seeds(spark):
+    rng = random.Random(13)
+    rows = [(i, f"{prose(rng, 8)} reach me: user{i}@mail.example.org {prose(rng, 8)}", "en", "s", 0) for i in range(200)]
+    for i in range(30):
+        rows += [(1000 + i, f"{prose(rng, 5)} reach me: user-at-{i}-mail {prose(rng, 5)}", "en", "s", 0),
+                 (2000 + i, f"{prose(rng, 5)} write down user-at-{i}-mail {prose(rng, 5)}", "en", "s", 0)]
+    # this one stands only where found instances stand
+    rows += [(3000, f"{prose(rng, 5)} write down hidden-99-box {prose(rng, 5)}", "en", "s", 0)]
+    spans = {r.doc_id: r.spans for r in pii.op10_pii(awkward(spark, rows)).collect()}
+    start = rows[-1][1].index("hidden-99-box")
+    assert spans[3000] == f"like_email:{start}:{start + len('hidden-99-box')}"
