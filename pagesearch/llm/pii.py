@@ -32,7 +32,8 @@ PATTERN_SCORE = 0.6     # least score of a pattern that may pass scores on
 INSTANCE_SCORE = 0.6    # least score of an instance that counts as an entity
 LEAST_LENGTH = 5        # of an identifier found by context
 
-_SPANS = "array<struct<kind:int,start:int,end:int,value:string,left:string,right:string>>"
+_SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
+_FRAMED = "array<struct<kind:int,start:int,end:int,value:string,left:string,right:string>>"
 
 
 def _ends(lengths: Column) -> Column:
@@ -50,21 +51,41 @@ def _ends(lengths: Column) -> Column:
 
 
 def _spans(text: Column, pattern: str, kind: int, gate: Column) -> Column:
-    """Every match with its place in code points and the text around it; ``gate`` skips texts without any."""
+    """Every match with its place in code points; ``gate`` skips texts without any."""
     def found(parts: Column, hits: Column) -> Column:
         # the pieces between the matches, each with the match that follows it
         lengths = F.transform(hits, lambda m, i: (F.length(F.get(parts, i)) + F.length(m)).cast("long"))
         return let(_ends(lengths), lambda ends: F.transform(hits, lambda m, i: F.struct(
             F.lit(kind).alias("kind"), (F.get(ends, i) - F.length(m)).cast("int").alias("start"),
-            F.get(ends, i).cast("int").alias("end"), m.alias("value"),
-            F.right(F.get(parts, i), F.lit(CONTEXT)).alias("left"),
-            F.left(F.get(parts, i + 1), F.lit(CONTEXT)).alias("right"))))
+            F.get(ends, i).cast("int").alias("end"), m.alias("value"))))
 
     spans = let(F.split(text, pattern, -1), lambda parts: let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: found(parts, hits)))
     return F.when(gate, spans).otherwise(F.array().cast(_SPANS))
 
 
+def _framed(text: Column, spans: Column) -> Column:
+    """The spans with up to CONTEXT characters of the text before and after each, whatever stands there.
+
+    The text is cut into pieces of CONTEXT characters once, so a span looks at two pieces on each side
+    instead of counting characters from the start of the text.
+    """
+    def piece(pieces: Column, at: Column) -> Column:
+        return F.coalesce(F.get(pieces, at.cast("int")), F.lit(""))
+
+    def framed(pieces: Column) -> Column:
+        def around(x: Column) -> Column:
+            first, last = F.floor(x["start"] / CONTEXT), F.floor(x["end"] / CONTEXT)
+            before = F.concat(piece(pieces, first - 1), F.left(piece(pieces, first), x["start"] % CONTEXT))
+            after = F.concat(F.substr(piece(pieces, last), x["end"] % CONTEXT + 1), piece(pieces, last + 1))
+            return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"),
+                            F.right(before, F.lit(CONTEXT)).alias("left"), F.left(after, F.lit(CONTEXT)).alias("right"))
+        return F.transform(spans, around)
+
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CONTEXT}}}+"), F.lit(0))
+    return F.when(F.size(spans) > 0, let(pieces, framed)).otherwise(F.array().cast(_FRAMED))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -100,9 +121,10 @@ def _found(docs: DataFrame) -> DataFrame:
     words = _spans(F.col("text"), _IDENTIFIER, -1, F.col("text").rlike("[0-9@]"))
     free = F.filter(words, lambda w: (F.length(w["value"]) >= LEAST_LENGTH) & ~F.exists(
         "base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return materialize(based.select(F.monotonically_increasing_id().alias("row_id"), "doc_id",
+    return materialize(based.withColumn("free", free).select(F.monotonically_increasing_id().alias("row_id"), "doc_id",
                                     F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit("b"), "text").alias("text_b"),
-                                    "base", free.alias("words")), "pii-found")
+                                    _framed(F.col("text"), F.col("base")).alias("base"),
+                                    _framed(F.col("text"), F.col("free")).alias("words")), "pii-found")
 
 
 def _patterns(spans: DataFrame) -> DataFrame:

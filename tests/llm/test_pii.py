@@ -89,3 +89,22 @@ def test_found_instances_lead_to_patterns_without_seeds(spark):
     spans = {r.doc_id: r.spans for r in pii.op10_pii(awkward(spark, rows)).collect()}
     start = rows[-1][1].index("hidden-99-box")
     assert spans[3000] == f"like_email:{start}:{start + len('hidden-99-box')}"
+
+
+def test_context_holds_words_with_digits(spark):
+    rng = random.Random(14)
+    rows = [(i, f"{prose(rng, 8)} contact 12 box user{i}@mail.example.org {prose(rng, 8)}", "en", "s", 0) for i in range(40)]
+    rows += [(100, f"{prose(rng, 5)} contact 12 box user-at-77-mail {prose(rng, 5)}", "en", "s", 0)]
+    spans = {r.doc_id: r.spans for r in pii.op10_pii(awkward(spark, rows)).collect()}
+    start = rows[-1][1].index("user-at")
+    assert spans[100] == f"like_email:{start}:{start + len('user-at-77-mail')}"
+
+
+def test_context_is_cut_by_position(spark):
+    rng = random.Random(15)
+    texts = ["".join(rng.choice(["ab ", "1", "x2@y.zz ", "😀", "\n", "é", "7 "]) for _ in range(n)) for n in (1, 20, 60, 61, 200, 700)]
+    texts += ["1" * 64, "x" * 64 + " 12345 " + "y" * 130]
+    for r in pii._found(awkward(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect():
+        text = texts[r.doc_id]
+        for s in [*r.base, *r.words]:
+            assert (s.value, s.left, s.right) == (text[s.start:s.end], text[max(0, s.start - 64):s.start], text[s.end:s.end + 64])
