@@ -1,8 +1,8 @@
 """Mix sources to target weights: equal-token blocks apportioned by highest quotients (Sainte-Lague).
 
 Each source's target is met by whole blocks. Blocks go to sources, and then from each source to its
-shards, by the highest quotients weight / (2k - 1); a shard takes its quota from its documents in a seeded
-order, starting over when the quota is more than it has. DataFrame functions only.
+shards, by the highest quotients weight / (2k - 1); what a cap cuts off is dealt again. A shard takes its quota
+from its documents in a seeded order, starting over when the quota is more than it has. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ REPEAT = 2              # most times that a source, shard or document is taken
 SEED = 20240229
 ROWS_PER_SHARD, MOST_SHARDS = 2_000, 20_000
 MOST_BLOCK_WORDS = 256
+BLOCKS_PER_SHARD = 64   # at least, on average, in a source's shards; as far as they hold so many words
 
 
 def sainte_lague(parties: DataFrame, houses: DataFrame) -> DataFrame:
@@ -50,6 +51,26 @@ def sainte_lague(parties: DataFrame, houses: DataFrame) -> DataFrame:
             .select("house", "party", (F.col("sure") + F.coalesce("won", F.lit(0))).cast("long").alias("seats")))
 
 
+def bounded_words(parties: DataFrame, houses: DataFrame) -> DataFrame:
+    """``house, party, words``: the words of each house dealt to its parties by seats, none above its cap.
+
+    ``parties(house, party, weight, cap)``, ``houses(house, words, block)``, caps and words whole. A seat is a block;
+    what a cap cuts off, and what is left of the words, goes by seats of one word to the room below the caps.
+    With no more words than room, the k-th word of a party wins only while k is at most its room, so all words of
+    a house are dealt unless its caps hold fewer.
+    """
+    seats = sainte_lague(parties.select("house", "party", "weight"),
+                         houses.select("house", F.floor(F.col("words") / F.col("block")).alias("seats")))
+    given = materialize(parties.join(houses, "house").join(seats, ["house", "party"], "left").select(
+        "house", "party", "cap", F.col("words").alias("all_words"),
+        F.least(F.coalesce("seats", F.lit(0)) * F.col("block"), F.col("cap")).alias("given")), "mix-given")
+    short = given.groupBy("house").agg(F.least(F.first("all_words") - F.sum("given"), F.sum(F.col("cap") - F.col("given")))
+                                       .alias("seats")).where("seats > 0")
+    more = sainte_lague(given.select("house", "party", (F.col("cap") - F.col("given")).cast("double").alias("weight")), short)
+    return given.join(more, ["house", "party"], "left").select(
+        "house", "party", (F.col("given") + F.coalesce("seats", F.lit(0))).alias("words"))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """``source_key, source_size, target, party`` of ``sizes(source_key, source_size)``, a row per source.
 
@@ -98,17 +119,23 @@ def mix(docs: DataFrame, carried: list[str], seed: int = SEED, rows: int | None
     wanted = sources.agg(F.sum("target").alias("t")).first().t or 0.0
     block = int(min(MOST_BLOCK_WORDS, max(1, wanted // 1_000_000)))
 
-    by_source = sainte_lague(sources.select(F.lit(0).alias("house"), "party", F.col("target").alias("weight")),
-                             sources.groupBy().agg(F.round(F.sum("target") / block).cast("long").alias("seats"))
-                             .select(F.lit(0).alias("house"), "seats"))
+    by_source = materialize(bounded_words(
+        sources.select(F.lit(0).alias("house"), "party", F.col("target").alias("weight"),
+                       (F.col("source_size") * REPEAT).alias("cap")),
+        sources.groupBy().agg((F.round(F.sum("target") / block) * block).cast("long").alias("words"))
+        .select(F.lit(0).alias("house"), "words", F.lit(block).alias("block")))
+        .select(F.col("party").alias("house"), "words"), "mix-sources")
     shares = held.join(sources, "source_key")
-    by_shard = sainte_lague(shares.select(F.col("party").alias("house"), F.col("shard").alias("party"),
-                                          F.col("shard_size").cast("double").alias("weight")),
-                            by_source.select(F.col("party").alias("house"), "seats"))
+    # a source with few words has smaller blocks, so that its shards are taken evenly
+    parts = shares.groupBy(F.col("party").alias("house")).agg(F.count(F.lit(1)).alias("n"))
+    by_shard = bounded_words(
+        shares.select(F.col("party").alias("house"), F.col("shard").alias("party"),
+                      F.col("shard_size").cast("double").alias("weight"), (F.col("shard_size") * REPEAT).alias("cap")),
+        by_source.join(parts, "house").select("house", "words", F.least(F.lit(block), F.greatest(
+            F.lit(1), F.floor(F.col("words") / (F.col("n") * BLOCKS_PER_SHARD)))).alias("block")))
     quotas = materialize(shares.join(by_shard, (shares["party"] == by_shard["house"])
                                      & (shares["shard"] == by_shard["party"]), "left").select(
-        "source_key", "shard", "source_size", "target", "shard_size",
-        F.least(F.coalesce("seats", F.lit(0)) * block, F.col("shard_size") * REPEAT).alias("quota")), "mix-quotas")
+        "source_key", "shard", "source_size", "target", "shard_size", F.coalesce("words", F.lit(0)).alias("quota")), "mix-quotas")
 
     before = (Window.partitionBy("source_key", "shard").orderBy("_order", "size")
               .rowsBetween(Window.unboundedPreceding, -1))

@@ -72,3 +72,16 @@ def test_mixed_documents_hold_the_taken_words(spark):
     originals = {t or "" for _, t, *_ in awkward_rows()}
     assert all(any(o.startswith(t) for o in originals) for t in texts)
     assert mixing.mixed_documents(docs.limit(0)).count() == mixing.op4_source_mixing(docs.limit(0)).count() == 0
+
+
+def test_a_tiny_source_of_many_shards_meets_its_target(spark):
+    big = [(i, "a " * 100_000, "en", "big", 0) for i in range(35)]
+    tiny = [(100 + i, "word", "en", "tiny", 0) for i in range(300)]
+    # as many shards as 2 million rows have, and blocks of 5 words
+    rows = mixing.mix(awkward(spark, big + tiny).repartition(8), ["doc_id", "source"], rows=2_000_000).collect()
+    taken, target = defaultdict(int), {r.source: r.target for r in rows}
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    assert target["tiny"] == 600
+    assert all(abs(taken[source] - target[source]) <= 5 for source in target)
