@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pagesearch.llm import (
-    fingerprints, jaccard, licenses, mixing, packing, pii, quality, sharding, token_counts, toxicity, vector_codes)
+    fingerprints, jaccard, licenses, mixing, packing, pii, quality, sharding, token_counts, toxicity, vector_codes, word_variants)
 from pagesearch.workload import Check, table
 
 CHECKS: dict[str, Check] = {
@@ -23,4 +23,6 @@ CHECKS: dict[str, Check] = {
     "op8_token_counts": Check(lambda spark, folder: token_counts.op8_token_counts(table(spark, folder, "documents"))),
     "op12_vector_codes": Check(
         lambda spark, folder: vector_codes.op12_vector_codes(table(spark, folder, "embeddings")), vector_codes.SQL),
+    "op13_word_variants": Check(
+        lambda spark, folder: word_variants.op13_word_variants(table(spark, folder, "documents")), word_variants.SQL),
 }

@@ -95,8 +95,9 @@ def next_codebooks(blocks: DataFrame, books: np.ndarray) -> np.ndarray:
                 used[position, entries] += np.add.reduceat(counts[order], starts)
                 sums[position, entries] += np.add.reduceat((parts * counts[:, None])[order], starts, axis=0)
         position, entry = np.nonzero(used)
-        yield pd.DataFrame({"position": position, "entry": entry, "n": used[position, entry],
-                            "sums": list(sums[position, entry])})
+        if len(position):
+            yield pd.DataFrame({"position": position, "entry": entry, "n": used[position, entry],
+                                "sums": list(sums[position, entry])})
 
     found = blocks.mapInPandas(walk, "position int, entry int, n long, sums array<long>")
     numbers = found.select("position", "entry", F.posexplode(F.concat(F.array("n"), "sums")).alias("place", "x"))
