@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pagesearch.llm import (
-    fingerprints, jaccard, licenses, mixing, packing, pii, quality, sharding, token_counts, toxicity, vector_codes, word_variants)
+    fingerprints, jaccard, licenses, mixing, packing, pii, quality, secret_scan, sharding, token_counts, toxicity, vector_codes, word_variants)
 from pagesearch.workload import Check, table
 
 CHECKS: dict[str, Check] = {
@@ -21,6 +21,7 @@ CHECKS: dict[str, Check] = {
     "op7_edit_fingerprints": Check(
         lambda spark, folder: fingerprints.op7_edit_fingerprints(table(spark, folder, "documents"))),
     "op8_token_counts": Check(lambda spark, folder: token_counts.op8_token_counts(table(spark, folder, "documents"))),
+    "op11_secret_scan": Check(lambda spark, folder: secret_scan.op11_secret_scan(table(spark, folder, "documents"))),
     "op12_vector_codes": Check(
         lambda spark, folder: vector_codes.op12_vector_codes(table(spark, folder, "embeddings")), vector_codes.SQL),
     "op13_word_variants": Check(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # The words of a text, between the six ASCII white space characters
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,6 +33,34 @@ def total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0).cast("long"), lambda so_far, x: so_far + x)
 
 
+def _ends(lengths: Column) -> Column:
+    """Running sums of an array of numbers, by blocks, so that long arrays do not cost their square."""
+    block = 256
+
+    def run(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")),
+                             lambda b: total(F.slice(x, b * block + 1, block)))
+        return let(blocks, lambda sums: F.transform(x, lambda _, i: total(
+            F.slice(sums, 1, F.floor(i / block).cast("int"))) + total(
+            F.slice(x, F.floor(i / block).cast("int") * block + 1, i % block + 1))))
+
+    return F.when(F.size(lengths) > 0, let(lengths, run)).otherwise(F.array().cast("array<bigint>"))
+
+
+def spans_of(text: Column, pattern: str, kind: int, gate: Column) -> Column:
+    """Every match with its place in code points; ``gate`` skips texts without any."""
+    def found(parts: Column, hits: Column) -> Column:
+        # the pieces between the matches, each with the match that follows it
+        lengths = F.transform(hits, lambda m, i: (F.length(F.get(parts, i)) + F.length(m)).cast("long"))
+        return let(_ends(lengths), lambda ends: F.transform(hits, lambda m, i: F.struct(
+            F.lit(kind).alias("kind"), (F.get(ends, i) - F.length(m)).cast("int").alias("start"),
+            F.get(ends, i).cast("int").alias("end"), m.alias("value"))))
+
+    spans = let(F.split(text, pattern, -1), lambda parts: let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: found(parts, hits)))
+    return F.when(gate, spans).otherwise(F.array().cast(SPANS))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """Only the columns an operator reads, so that extra columns of any name do no harm."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesearch.llm.common import SPACE, ascii_lower, let, texts, total
+from pagesearch.llm.common import SPACE, ascii_lower, let, spans_of, texts, total
 from pagesearch.session import fits_broadcast, materialize
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -32,38 +32,9 @@ PATTERN_SCORE = 0.6     # least score of a pattern that may pass scores on
 INSTANCE_SCORE = 0.6    # least score of an instance that counts as an entity
 LEAST_LENGTH = 5        # of an identifier found by context
 
-_SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 _FRAMED = "array<struct<kind:int,start:int,end:int,value:string,left:string,right:string>>"
 
 
-def _ends(lengths: Column) -> Column:
-    """Running sums of an array of numbers, by blocks, so that long arrays do not cost their square."""
-    block = 256
-
-    def run(x: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")),
-                             lambda b: total(F.slice(x, b * block + 1, block)))
-        return let(blocks, lambda sums: F.transform(x, lambda _, i: total(
-            F.slice(sums, 1, F.floor(i / block).cast("int"))) + total(
-            F.slice(x, F.floor(i / block).cast("int") * block + 1, i % block + 1))))
-
-    return F.when(F.size(lengths) > 0, let(lengths, run)).otherwise(F.array().cast("array<bigint>"))
-
-
-def _spans(text: Column, pattern: str, kind: int, gate: Column) -> Column:
-    """Every match with its place in code points; ``gate`` skips texts without any."""
-    def found(parts: Column, hits: Column) -> Column:
-        # the pieces between the matches, each with the match that follows it
-        lengths = F.transform(hits, lambda m, i: (F.length(F.get(parts, i)) + F.length(m)).cast("long"))
-        return let(_ends(lengths), lambda ends: F.transform(hits, lambda m, i: F.struct(
-            F.lit(kind).alias("kind"), (F.get(ends, i) - F.length(m)).cast("int").alias("start"),
-            F.get(ends, i).cast("int").alias("end"), m.alias("value"))))
-
-    spans = let(F.split(text, pattern, -1), lambda parts: let(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: found(parts, hits)))
-    return F.when(gate, spans).otherwise(F.array().cast(_SPANS))
-
-
 def _framed(text: Column, spans: Column) -> Column:
     """The spans with up to CONTEXT characters of the text before and after each, whatever stands there.
 
@@ -103,13 +74,13 @@ def _luhn(value: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """All base spans of a text that is not null, by kind and place."""
-    email = _spans(text, _EMAIL, 0, text.contains("@"))
-    ip = F.filter(_spans(text, _IP, 1, text.rlike(r"[0-9]\.[0-9]")), lambda x: F.forall(
+    email = spans_of(text, _EMAIL, 0, text.contains("@"))
+    ip = F.filter(spans_of(text, _IP, 1, text.rlike(r"[0-9]\.[0-9]")), lambda x: F.forall(
         F.split(x["value"], r"\."), lambda part: F.length(F.regexp_replace(part, "^0+", "")) <= 3) & F.forall(
         F.split(x["value"], r"\."), lambda part: F.expr("true") & (F.coalesce(
             F.substring(F.regexp_replace(part, "^0+", ""), 1, 4).try_cast("int"), F.lit(0)) <= 255)))
-    card = F.filter(_spans(text, _CARD, 2, text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}")), lambda x: _luhn(x["value"]))
-    phone = F.filter(_spans(text, _PHONE, 3, text.contains("+")),
+    card = F.filter(spans_of(text, _CARD, 2, text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}")), lambda x: _luhn(x["value"]))
+    phone = F.filter(spans_of(text, _PHONE, 3, text.contains("+")),
                      lambda x: F.length(_digits(x["value"])).between(8, 15))
     return F.concat(email, ip, card, phone)
 
@@ -118,7 +89,7 @@ def _found(docs: DataFrame) -> DataFrame:
     """Per row: ids, base spans and the identifier-like words outside them; written, so that ids are fixed."""
     named = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     based = named.withColumn("base", base_spans(F.col("text")))
-    words = _spans(F.col("text"), _IDENTIFIER, -1, F.col("text").rlike("[0-9@]"))
+    words = spans_of(F.col("text"), _IDENTIFIER, -1, F.col("text").rlike("[0-9@]"))
     free = F.filter(words, lambda w: (F.length(w["value"]) >= LEAST_LENGTH) & ~F.exists(
         "base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     return materialize(based.withColumn("free", free).select(F.monotonically_increasing_id().alias("row_id"), "doc_id",
