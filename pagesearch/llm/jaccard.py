@@ -1,15 +1,15 @@
 """Exact self-join of documents by the Jaccard similarity of their word shingles, to components.
 
-Shingles are hashed into groups, and the groups are used twice.
-
-1. *Routing.* Two sets that link differ in at most d shingles, d known from their size class. With d + 2
-   groups they have the same shingles in some group, so the hash of (size class, group, its shingles) is a
-   key that they share. Sets that share a key, and sets joined through them, form a cluster. No pair is
-   ever emitted: clusters come from links of each set to the smallest set of its key.
-2. *Search.* Within a cluster the group counts are points of an R-tree (count_tree). The sum of the
-   coordinate minima bounds the overlap; survivors are verified on the sets themselves.
-
-A cluster too big for one task is cut into blocks. One pivot block meets every block; then only what is
+1. *Routing.* All sets order their shingles alike: those of one set only, then shared ones from the rarest on, then a
+   bounded list of common ones. Two sets of Jaccard t or more share a shingle among the first
+   n - ceil(t n) + 1 of both. What only one set has cannot be it, so a set emits only the shared ones of these
+   as keys, in most texts none. Which shingles are shared is counted over all sets, packed by ranges of hashes.
+2. *Search.* The sets under one key are points of an R-tree by their group counts (count_tree). The sum of the
+   coordinate minima bounds the overlap; survivors are verified on the sets themselves. Only verified
+   links join sets. First every set is searched under its most shared key; other keys follow where their sets are not yet
+   in one component.
+
+A key with too many sets for one task is cut into blocks. One pivot block meets every block; then only what is
 outside the largest component found meets every block. Sets are equal when 128 hash bits are.
 """
 
@@ -30,9 +30,12 @@ from pagesearch.session import fits_broadcast, materialize
 
 SHINGLE = 3
 PERCENT = 90
-BLOCK_SHINGLES = 2_000_000  # most shingles of a cluster that one task holds at a time (16 MB of hashes)
+BLOCK_SHINGLES = 2_000_000  # most shingles of a key's sets that one task holds at a time (16 MB of hashes)
 POINT = 32  # a set's count vector takes the memory of so many shingles
-BAND_RATIO = 1.25
+CHUNK_CHARS = 16_000_000    # texts that are shingled together
+COMMON_IN_CHUNK = 8         # sets of a chunk with a shingle that make it a candidate for the common ones
+MOST_COMMON = 100_000       # common shingles that every task holds (0.8 MB)
+RANGE_SHINGLES = 6_000_000  # shingles of one range of hashes, which a task counts at a time
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -70,41 +73,9 @@ def shingle_set(text: str | None, hashes: Words, width: int = SHINGLE) -> np.nda
     return np.unique(mixed)
 
 
-def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower ends of the size classes, and for each the most shingles by which two linked sets can differ.
-
-    A class is as wide as BAND_RATIO, wider than the ratio of linked sizes, so a pair lies in one class
-    or in two neighbours. The larger set's class counts.
-    """
-    lows = [1]
-    while lows[-1] <= largest:
-        # at least one apart, and never narrower than the ratio that two linked sets may have
-        lows.append(max(lows[-1] + 1, int(lows[-1] * max(BAND_RATIO, 100 / percent)) + 1))
-    low = np.array(lows, dtype=np.int64)
-    return low[:-1], 2 * (low[1:] - 1) * (100 - percent) // (100 + percent)
-
-
-def routing_keys(shingles: np.ndarray, percent: int, low: np.ndarray, apart: np.ndarray) -> list[np.ndarray]:
-    """Keys of one set in its own size class and, where a larger set of the next class may link, there."""
-    n = len(shingles)
-    own = int(np.searchsorted(low, n, side="right")) - 1
-    keys = []
-    with np.errstate(over="ignore"):
-        values = _mix(shingles + _M1)
-        for band in (own, own + 1):
-            if band >= len(low) or 100 * n < percent * low[band] or apart[band] == 0:
-                continue  # no set of that class links with another set
-            groups = int(apart[band]) + 2
-            # multiply-shift keeps the order of the sorted hashes, so each group is one run
-            group = ((shingles >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
-            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            salt = np.uint64(band * 2 + 1) * _M3
-            present = group[starts]
-            keys.append(_mix(np.add.reduceat(values, starts) ^ _mix(present * _M1 + salt)))
-            if len(starts) <= apart[band]:  # so lopsided that the equal groups may all be empty
-                empty = np.setdiff1d(np.arange(groups, dtype=np.uint64), present)
-                keys.append(_mix(_mix(empty * _M2 + salt) ^ _M1))
-    return keys
+def prefix_size(n: int, percent: int) -> int:
+    """How many first shingles of a set of n, in any order that all sets have, meet those of every set it links with."""
+    return n - -(-percent * n // 100) + 1
 
 
 def _set_id(shingles: np.ndarray) -> tuple[int, int]:
@@ -113,27 +84,128 @@ def _set_id(shingles: np.ndarray) -> tuple[int, int]:
                 int(_mix(shingles ^ _M1).sum(dtype=np.uint64).astype(np.int64)))
 
 
-def shingle_sets(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
-    """``doc_id, text_hash, a, b, n_shingles, keys`` per row: 128-bit id of the set, its size and its routing keys."""
+def _chunks(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Rows with a ``text``, and the shingles of each, some millions of characters at a time."""
+    hashes = Words()
+    for batch in batches:
+        chunk = batch["text"].str.len().fillna(0).cumsum() // CHUNK_CHARS
+        for _, rows in batch.groupby(chunk, sort=False):
+            yield rows, [shingle_set(text, hashes, width) for text in rows["text"]]
+
+
+def shingle_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """``doc_id, text_hash, a, b, n_shingles, common, times`` per row: 128-bit id of the set, and its size.
+
+    The first row of a chunk also has the shingles that COMMON_IN_CHUNK sets of the chunk have, and how many.
+    """
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Words()
-        low, apart = bands(percent, 1 << 16)
-        for batch in batches:
-            for part in range(0, len(batch), 500):
-                rows = []
-                piece = batch.iloc[part:part + 500]
-                for doc_id, text_hash, text in zip(piece["doc_id"], piece["text_hash"], piece["text"], strict=True):
-                    shingles = shingle_set(text, hashes, width)
-                    while len(shingles) * 2 >= low[-1]:
-                        low, apart = bands(percent, int(low[-1]) * 4)
-                    keys = routing_keys(shingles, percent, low, apart) if len(shingles) else []
-                    a, b = _set_id(shingles)
-                    rows.append((doc_id, text_hash, a, b, len(shingles),
-                                 np.concatenate(keys).view(np.int64) if keys else np.empty(0, dtype=np.int64)))
-                yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "a", "b", "n_shingles", "keys"]).astype({"doc_id": "Int64"})
-
-    return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInPandas(
-        describe, "doc_id long, text_hash long, a long, b long, n_shingles long, keys array<long>")
+        for rows, sets in _chunks(batches, width):
+            ids = [_set_id(s) for s in sets]
+            seen, counts = np.unique(np.concatenate(list(dict(zip(ids, sets, strict=True)).values())), return_counts=True)
+            often = counts >= COMMON_IN_CHUNK
+            nothing = np.empty(0, dtype=np.int64)
+            yield pd.DataFrame({
+                "id": rows["id"], "text_hash": rows["text_hash"], "a": [a for a, _ in ids],
+                "b": [b for _, b in ids], "n_shingles": [len(s) for s in sets],
+                "common": [seen[often].view(np.int64)] + [nothing] * (len(sets) - 1),
+                "times": [counts[often]] + [nothing] * (len(sets) - 1)})
+
+    # the id goes through as text: a column of whole numbers with nulls would become one of doubles
+    named = texts(docs).select(F.col("doc_id").cast("string").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    described = named.mapInPandas(
+        describe, "id string, text_hash long, a long, b long, n_shingles long, common array<long>, times array<long>")
+    return described.select(F.col("id").cast("long").alias("doc_id"), "text_hash", "a", "b", "n_shingles", "common", "times")
+
+
+def common_shingles(sets: DataFrame, most: int = MOST_COMMON) -> np.ndarray:
+    """Sorted hashes of the ``most`` shingles that come up in most sets, as far as chunks show; they are ordered last.
+
+    Any list gives the same links. This one keeps keys small: a shingle in more sets than about the root of
+    all rows is seen in some chunk.
+    """
+    rows = (sets.where(F.size("common") > 0).select(F.explode(F.arrays_zip("common", "times")).alias("x"))
+            .groupBy("x.common").agg(F.sum("x.times").alias("n")).orderBy(F.desc("n"), "common").limit(most))
+    return np.sort(np.array([row.common for row in rows.select("common").collect()], dtype=np.int64).view(np.uint64))
+
+
+def _places(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each hash and its place in the range, cut to 32 bits; both grow with the hash."""
+    low, high, n = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32), np.uint64(ranges)
+    with np.errstate(over="ignore"):
+        return ((high * n + ((low * n) >> np.uint64(32))) >> np.uint64(32)).astype(np.int64), ((hashes * n) >> np.uint64(32)).astype(np.uint32)
+
+
+def _packed(docs: DataFrame, common: np.ndarray, percent: int, width: int, ranges: int) -> DataFrame:
+    """``part, sets, spare, sizes, shingles``: the shingles of a chunk's distinct sets by ranges of hashes, in binary arrays.
+
+    ``spare`` is how many shingles a set has, common ones apart, beyond its prefix. When it is below zero, that many
+    common ones are in the prefix: they are rows of parts below zero. Shingles of a set that fall together
+    when cut count once, which can only make its prefix longer.
+    """
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, sets in _chunks(batches, width):
+            distinct = {_set_id(s)[0]: s for s in sets if len(s)}
+            if not distinct:
+                continue
+            ids, held = np.array(list(distinct), dtype=np.int64), list(distinct.values())
+            sizes = np.array([len(s) for s in held])
+            owner, hashes = np.repeat(np.arange(len(held)), sizes), np.concatenate(held)
+            often = np.isin(hashes, common)
+            part, place = _places(hashes, ranges)
+            once = np.r_[True, (part[1:] != part[:-1]) | (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])] & ~often
+            spare = (np.bincount(owner[once], minlength=len(held)) - [prefix_size(int(n), percent) for n in sizes]).astype(np.int32)
+            rows = []
+            for i in np.flatnonzero((spare < 0) & (np.bincount(owner[often], minlength=len(held)) > 0)):
+                keys = held[i][np.isin(held[i], common)][:-spare[i]]
+                rows.append((int(-1 - ids[i] % ranges), ids[i:i + 1].tobytes(), spare[i:i + 1].tobytes(),
+                             np.array([len(keys)], dtype=np.int32).tobytes(), keys.tobytes()))
+            owner, part, place = owner[once], part[once], place[once]
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(ranges + 1))
+            for number in np.flatnonzero(np.diff(ends)):
+                mine = order[ends[number]:ends[number + 1]]
+                own, n = np.unique(owner[mine], return_counts=True)
+                rows.append((int(number), ids[own].tobytes(), spare[own].tobytes(), n.astype(np.int32).tobytes(), place[mine].tobytes()))
+            if rows:
+                yield pd.DataFrame(rows, columns=["part", "sets", "spare", "sizes", "shingles"])
+
+    return texts(docs).select("text").mapInPandas(pack, "part int, sets binary, spare binary, sizes binary, shingles binary")
+
+
+def _shared_shingles(group: pd.DataFrame) -> pd.DataFrame:
+    """``a, spare, times, key``: the shingles of one range that several sets have; of parts below zero all, with times 0."""
+    part = int(group["part"].iloc[0])
+
+    def read(column: str, kind: type) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x, dtype=kind) for x in group[column]])
+
+    sizes = read("sizes", np.int32)
+    owner, spare = np.repeat(read("sets", np.int64), sizes), np.repeat(read("spare", np.int32), sizes)
+    shingle = read("shingles", np.uint32 if part >= 0 else np.int64)
+    order = np.lexsort((owner, shingle))
+    owner, spare, shingle = owner[order], spare[order], shingle[order]
+    new = np.r_[True, shingle[1:] != shingle[:-1]]
+    once = new | np.r_[True, owner[1:] != owner[:-1]]   # a copy of a set in another chunk counts once
+    owner, spare, shingle, new = owner[once], spare[once], shingle[once], new[once]
+    if part < 0:
+        return pd.DataFrame({"a": owner, "spare": spare, "times": np.zeros(len(owner), dtype=np.int64), "key": shingle})
+    n = np.diff(np.r_[np.flatnonzero(new), len(new)])
+    times = np.repeat(n, n)
+    shared = times > 1
+    return pd.DataFrame({"a": owner[shared], "spare": spare[shared], "times": times[shared],
+                         "key": (np.int64(part) << np.int64(32)) + shingle[shared].astype(np.int64)})
+
+
+def routing_keys(docs: DataFrame, common: np.ndarray, shingles: int, percent: int = PERCENT, width: int = SHINGLE,
+                 range_shingles: int = RANGE_SHINGLES) -> DataFrame:
+    """``a, key``: the keys of each set that has any; linked sets share one. ``shingles`` is about how many there are."""
+    packed = _packed(docs, common, percent, width, max(1, -(-shingles // range_shingles)))
+    found = (packed.groupBy("part").applyInPandas(_shared_shingles, "a long, spare int, times long, key long")
+             .groupBy("a").agg(F.first("spare").alias("spare"), F.sort_array(F.collect_list(F.struct("times", "key"))).alias("all")))
+    often, rare = F.filter("all", lambda x: x["times"] == 0), F.filter("all", lambda x: x["times"] > 0)
+    # what no other set has comes first in the order and is no key, so this many of the shared ones are in the prefix
+    left = F.greatest(F.size(rare) - F.col("spare"), F.lit(0))
+    return found.select("a", F.explode(F.concat(often, F.slice(rare, F.lit(1), left))).alias("x")).select("a", "x.key")
 
 
 def _link_tasks(members: DataFrame, percent: int, width: int) -> DataFrame:
@@ -158,7 +230,7 @@ def _link_tasks(members: DataFrame, percent: int, width: int) -> DataFrame:
                     continue
                 shingles = shingle_set(text, hashes, width)
                 if _set_id(shingles) != (a, b):
-                    continue  # another text under the same document id
+                    continue  # another text with the same hash under the same document id
                 seen.add((a, b))
                 ids.append(a)
                 sets.append(shingles)
@@ -169,25 +241,17 @@ def _link_tasks(members: DataFrame, percent: int, width: int) -> DataFrame:
             .mapInPandas(link, "u long, v long"))
 
 
-def clusters(sets: DataFrame) -> DataFrame:
-    """``a, cluster`` of the sets that share a routing key with another set, directly or through others."""
-    keyed = sets.where(F.size("keys") > 0).select("a", F.explode("keys").alias("key"))
-    shared = materialize(keyed.groupBy("key").agg(F.min("a").alias("least"), F.max("a").alias("most"))
-                         .where("least <> most").select("key", "least"), "shared-keys")
-    hits = keyed.join(shared, "key").where("a <> least").select(F.col("a").alias("u"), F.col("least").alias("v"))
-    return components(hits).select(F.col("node").alias("a"), F.col("root").alias("cluster"))
-
-
 def _with_texts(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """The text of each member's document; ids are compared null-safe."""
+    """The text of each member's document, by id (null-safe) and hash of the text, so that an id of many rows is no hot key."""
     if fits_broadcast(members):
         members = F.broadcast(members)
-    wanted = members.withColumnRenamed("doc_id", "_id")
-    return texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    wanted = members.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    keyed = texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    return keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).drop("_id", "_hash")
 
 
 def _big_cluster_links(members: DataFrame, docs: DataFrame, percent: int, block: int, width: int) -> DataFrame:
-    """Links of clusters that one task cannot hold: ``members(cluster, a, b, doc_id, n, weight)``."""
+    """Links under keys that one task cannot hold: ``members(cluster, a, b, doc_id, text_hash, n, weight)``."""
     blocks = F.ceil(F.col("weight") / block)
     # an even spread over the size order; the hash breaks ties of equal sizes
     place = F.col("n") + F.pmod("a", F.lit(1 << 20)) / float(1 << 20)
@@ -200,7 +264,7 @@ def _big_cluster_links(members: DataFrame, docs: DataFrame, percent: int, block:
         "range", F.size(F.filter("ends", lambda e: e < F.col("place"))))
     per_range = F.greatest(F.ceil(F.col("n_blocks") / 64), F.lit(1))
     tiled = materialize(ranged.select(
-        "cluster", "a", "b", "doc_id", "n", "weight",
+        "cluster", "a", "b", "doc_id", "text_hash", "n", "weight",
         F.when(F.col("n_blocks") < 64, F.floor(F.col("range") * F.col("n_blocks") / 64))
         .otherwise(F.col("range") * per_range + F.pmod(F.xxhash64("a"), per_range)).cast("long").alias("block")), "tiles")
     spans = materialize(tiled.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"),
@@ -211,9 +275,9 @@ def _big_cluster_links(members: DataFrame, docs: DataFrame, percent: int, block:
         """Run the tasks of block pairs ``cluster, one, two``; ``first`` holds the blocks named by ``one``."""
         task = F.xxhash64("cluster", "one", "two").alias("task")
         both = (first.join(pairs.withColumn("block", F.col("one")), ["cluster", "block"])
-                .select(task, "a", "b", "doc_id")
+                .select(task, "a", "b", "doc_id", "text_hash")
                 .unionByName(tiled.join(pairs.withColumn("block", F.col("two")), ["cluster", "block"])
-                             .select(task, "a", "b", "doc_id")))
+                             .select(task, "a", "b", "doc_id", "text_hash")))
         return _link_tasks(_with_texts(materialize(both.distinct(), "block-tasks"), docs), percent, width)
 
     p, s = pivot.alias("p"), spans.alias("s")
@@ -225,7 +289,7 @@ def _big_cluster_links(members: DataFrame, docs: DataFrame, percent: int, block:
     sizes = rooted.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("held"))
     largest = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("held", "root")).alias("largest"))
     rest = materialize(rooted.join(largest, "cluster").where("root <> largest")
-                       .select("cluster", "a", "b", "doc_id", "n", "block"), "unresolved")
+                       .select("cluster", "a", "b", "doc_id", "text_hash", "n", "block"), "unresolved")
     if not rest.head(1):
         return first
     r = rest.groupBy("cluster", "block").agg(F.min("n").alias("r_low"), F.max("n").alias("r_high")).alias("r")
@@ -235,6 +299,34 @@ def _big_cluster_links(members: DataFrame, docs: DataFrame, percent: int, block:
     return first.unionByName(met(rest, pairs))
 
 
+def _searched(keyed: DataFrame, own: DataFrame, docs: DataFrame, percent: int, block: int, width: int) -> DataFrame:
+    """Links among the sets under each key of ``keyed(a, key)``."""
+    members = materialize(keyed.join(own, "a").withColumnRenamed("key", "cluster"), "members")
+    weights = members.groupBy("cluster").agg(F.sum(F.col("n") + POINT).alias("weight"))
+    weighed = materialize(members.join(weights, "cluster"), "weighed")
+    small = weighed.where(F.col("weight") <= 2 * block).select(F.col("cluster").alias("task"), "a", "b", "doc_id", "text_hash")
+    links = _link_tasks(_with_texts(small, docs), percent, width)
+    big = weighed.where(F.col("weight") > 2 * block)
+    if big.head(1):
+        links = links.unionByName(_big_cluster_links(big, docs, percent, block, width))
+    return materialize(links, "set-links")
+
+
+def verified_links(own: DataFrame, keyed: DataFrame, docs: DataFrame, percent: int, block: int, width: int) -> DataFrame:
+    """Links ``u, v`` that leave the sets in the components that all links would leave them in."""
+    keyed = materialize(keyed, "routing-keys")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    keyed = materialize(keyed.join(shared, "key"), "shared-keys")
+    # copies with many keys in common meet once, under the key that most sets have
+    most = keyed.groupBy("a").agg(F.max_by("key", F.struct("held", "key")).alias("key"))
+    first = _searched(most, own, docs, percent, block, width)
+    roots = components(first)
+    rooted = keyed.join(roots, keyed["a"] == roots["node"], "left").select("a", "key", F.coalesce("root", "a").alias("root"))
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    rest = materialize(keyed.join(open_keys.select("key"), "key").select("a", "key"), "open-keys")
+    return first.unionByName(_searched(rest, own, docs, percent, block, width))
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``.
 
@@ -247,19 +339,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, block: int = BLO
 
 def labelled(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK_SHINGLES, width: int = SHINGLE) -> DataFrame:
     """As ``jaccard_components``, with the row's ``text_hash`` and ``component``, a key that no two components share."""
-    sets = materialize(shingle_sets(docs, percent, width), "shingle-sets")
-    own = materialize(sets.where("n_shingles > 0").groupBy("a", "b")
-                      .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "own-sets")
-    routed = clusters(sets)
-    members = materialize(own.join(routed, "a"), "members")
-    weights = members.groupBy("cluster").agg(F.sum(F.col("n") + POINT).alias("weight"))
-    weighed = materialize(members.join(weights, "cluster"), "weighed")
-    small = weighed.where(F.col("weight") <= 2 * block).select(F.col("cluster").alias("task"), "a", "b", "doc_id")
-    links = _link_tasks(_with_texts(small, docs), percent, width)
-    big = weighed.where(F.col("weight") > 2 * block)
-    if big.head(1):
-        links = links.unionByName(_big_cluster_links(big, docs, percent, block, width))
-    roots = components(links)
+    sets = materialize(shingle_sets(docs, width), "shingle-sets")
+    own = materialize(sets.where("n_shingles > 0").groupBy("a", "b").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("of"), F.first("n_shingles").alias("n"))
+        .select("a", "b", "of.doc_id", "of.text_hash", "n"), "own-sets")
+    shingles = own.agg(F.sum("n").alias("n")).first().n or 0
+    roots = components(verified_links(own, routing_keys(docs, common_shingles(sets), shingles, percent, width), docs, percent, block, width))
     rooted = own.join(roots, own["a"] == roots["node"], "left")
     # written first, so that the join can split a component that holds many sets
     least = materialize(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least-ids")

@@ -24,7 +24,7 @@ def test_stages_against_brute_force(spark):
     quality_labels = dict(zip(*[pq.read_table(f"{FOLDER}/labels.parquet")[c].to_pylist() for c in ("doc_id", "quality")]))
     long_enough = {d for d, t in given if len(re.findall("[^\x20\x09-\x0d]+", t)) >= 20 and quality_labels.get(d) == 1}
     assert len(long_enough - passed) <= 0.02 * len(long_enough)
-    want = {c if n else d for d, n, c in brute([(r["doc_id"], r["text"]) for r in clean])}
+    want = {c if n else d for d, n, c in brute([(r["doc_id"], r["text"]) for r in clean], 80, 5)}
     assert {r["doc_id"] for r in single} == want and len(single) == len(want)
     assert [r["doc_id"] for r in single if pii_spans(r["text"])] and not any(pii_spans(r["text"]) for r in private)
     originals = {r["doc_id"]: r["text"] for r in private}
