@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from pagesearch.functions.text import let
 from pagesearch.functions.urls import trim_slashes
 from pagesearch.operators.skew import salted_join
 
@@ -16,23 +17,24 @@ def url_title_map(docs: DataFrame) -> DataFrame:
         .select("site", "url", F.col("last.title").alias("title"))
 
 
-def url_hierarchy(titles: DataFrame) -> DataFrame:
-    """Rows ``(site, url, hierarchy)`` for every URL of a URL-to-title map.
+def url_prefixes(site: Column, url: Column) -> Column:
+    """The URLs of all levels from below the site's root down to the URL itself."""
+    path = F.replace(F.replace(url, site, F.lit("")), F.lit("//"), F.lit("/"))
+    parts = F.split(F.regexp_replace(path, r"\A/+|/+\z", ""), "/")
+    return let(parts, lambda p: F.transform(
+        F.sequence(F.lit(1), F.size(p)), lambda i: F.concat_ws("/", trim_slashes(site), F.slice(p, F.lit(1), i))))
+
+
+def url_hierarchy(titles: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Rows ``(site, url, hierarchy)`` for every URL of a URL-to-title map, or for those of ``wanted(site, url)``.
 
     A URL's own title needs no lookup. The prefixes above it do, and a top-level prefix is shared
     by a large part of the site: prefixes are made distinct first, so only the titles of inner
     pages are repeated per salt, and the many lookups of one prefix are spread over the salts.
     """
-    root = trim_slashes(F.col("site"))
-    path = F.replace(F.replace("url", F.col("site"), F.lit("")), F.lit("//"), F.lit("/"))
-    parts = F.split(F.regexp_replace(path, r"\A/+|/+\z", ""), "/")
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.size("parts")),
-        lambda i: F.concat_ws("/", root, F.slice("parts", F.lit(1), i)))
-    lookups = (
-        titles.withColumn("parts", parts)
-        .select("site", "url", F.col("title").alias("own_title"), F.posexplode(prefixes).alias("level", "prefix"))
-    )
+    asked = titles if wanted is None else titles.join(wanted.select("site", "url").distinct(), ["site", "url"])
+    lookups = asked.select("site", "url", F.col("title").alias("own_title"),
+                           F.posexplode(url_prefixes(F.col("site"), F.col("url"))).alias("level", "prefix"))
     own = lookups.filter(F.col("prefix") == F.col("url")) \
         .select("site", "url", "level", F.col("own_title").alias("title"))
     above = lookups.filter(F.col("prefix") != F.col("url")).select("site", "url", "level", "prefix")
@@ -44,9 +46,10 @@ def url_hierarchy(titles: DataFrame) -> DataFrame:
     return steps.groupBy("site", "url").agg(F.transform(ordered, lambda s: s["title"]).alias("hierarchy"))
 
 
-def with_hierarchy(docs: DataFrame) -> DataFrame:
-    """Replace the empty hierarchy of parsed documents by the resolved one."""
-    known = url_hierarchy(url_title_map(docs)).withColumnsRenamed({"url": "_url", "hierarchy": "_found"})
+def with_hierarchy(docs: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """Replace the hierarchy of documents by the resolved one; ``titles`` is the URL-to-title map when they are not all."""
+    keys = docs.select("site", trim_slashes(F.col("url")).alias("url"))
+    known = (url_hierarchy(url_title_map(docs)) if titles is None else url_hierarchy(titles, keys)).withColumnsRenamed({"url": "_url", "hierarchy": "_found"})
     keyed = docs.withColumn("_url", trim_slashes(F.col("url")))
     joined = keyed.join(known, ["site", "_url"], "left")
     empty = F.array().cast("array<string>")

@@ -20,7 +20,7 @@ from pagesearch.config import SiteConfig
 from pagesearch.functions.text import STEM_MARK, SYNONYM_MARK, stem
 from pagesearch.operators.postings import plain, single_word_groups
 from pagesearch.operators.skew import lookup_join, salted_join
-from pagesearch.plans.index_site import SearchIndex
+from pagesearch.plans.index_site import SearchIndex, documents_of
 from pagesearch.session import fits_broadcast, materialize
 from pagesearch.sources.store import term_bucket
 
@@ -256,19 +256,43 @@ def match(slots: DataFrame, index: SearchIndex) -> DataFrame:
     return whole.select("qkey", "site", "doc_id", "doc_score", (F.col("sum_part") / gap).alias("base"), gap.alias("slop"))
 
 
-def section_scores(hits: DataFrame, sections: DataFrame, index: SearchIndex) -> DataFrame:
-    """Add ``section_part``: the score of ``@s:section`` where the document is in the query's section.
-
-    ``sections`` has rows ``(qkey, site, section_tokens)``; all tokens have to be in the field.
-    """
+def _section_words(sections: DataFrame, index: SearchIndex) -> tuple[DataFrame, DataFrame, SlotProfile]:
+    """The distinct words of each query's section, their index terms, and how many there are."""
     needed = sections.withColumn("section_tokens", F.array_distinct("section_tokens")) \
         .withColumn("n_words", F.size("section_tokens"))
     words = needed.select("qkey", "site", "n_words", F.explode("section_tokens").alias("term"))
     slots = words.select("site", F.lit("token").alias("kind"), F.col("term").alias("text"), F.lit("s").alias("field"))
     profiled = profile(slots)
-    terms = materialize(slot_terms(slots, index, profiled), "section_terms")
-    found = word_documents(terms, index, profiled).select("site", F.col("text").alias("term"), "doc_id", "part")
+    return words, materialize(slot_terms(slots, index, profiled), "section_terms"), profiled
+
+
+def section_documents(sections: DataFrame, index: SearchIndex) -> DataFrame:
+    """Rows ``(qkey, site, doc_id, doc_score, base, section_part)``: every document of each section, as a star query finds it."""
+    words, terms, profiled = _section_words(sections, index)
+    found = word_documents(terms, index, profiled).select("site", F.col("text").alias("term"), "doc_id", "doc_score", "part")
+    asked = lookup_join(found, words, ["site", "term"], ["doc_id"], fits=profiled.fits)
+    whole = asked.groupBy("qkey", "site", "doc_id", "doc_score", "n_words").agg(
+        F.count("*").alias("n_found"), F.sum("part").alias("section_part")).filter("n_found = n_words")
+    return whole.withColumn("base", F.lit(1.0)).drop("n_words", "n_found")
+
+
+def section_scores(hits: DataFrame, sections: DataFrame, index: SearchIndex) -> DataFrame:
+    """Add ``section_part``: the score of ``@s:section`` where the document is in the query's section.
+
+    ``sections`` has rows ``(qkey, site, section_tokens)``; all tokens have to be in the field. Only the
+    postings of hits are read further than their ids. ``hits`` should be a stored table.
+    """
+    words, terms, profiled = _section_words(sections, index)
+    candidates = lookup_join(hits.select("qkey", "site", "doc_id"), sections.select("qkey"), ["qkey"], ["doc_id"]) \
+        .select("site", "doc_id").distinct()
+    found = word_documents(terms, index, profiled, materialize(candidates, "section_candidates")) \
+        .select("site", F.col("text").alias("term"), "doc_id", "part")
     asked = lookup_join(hits.select("qkey", "site", "doc_id"), words, ["qkey", "site"], ["doc_id"], fits=profiled.fits)
     whole = asked.join(found, ["site", "term", "doc_id"]).groupBy("qkey", "doc_id", "n_words").agg(
         F.count("*").alias("n_found"), F.sum("part").alias("section_part")).filter("n_found = n_words")
     return hits.join(whole.select("qkey", "doc_id", "section_part"), ["qkey", "doc_id"], "left")
+
+
+def tagged(tags: DataFrame, index: SearchIndex, *columns: str) -> DataFrame:
+    """The documents that carry exactly the tags ``tags(site, doc_id)``, each once, with columns of theirs."""
+    return documents_of(tags.select("site", "doc_id").distinct(), index, *columns)

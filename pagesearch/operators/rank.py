@@ -46,6 +46,11 @@ def all_ranks(hits: DataFrame) -> DataFrame:
         .withColumn("rank", (F.col("_before") + F.col("_local")).cast("int")).drop("_task", "_local", "_before")
 
 
+def first_ranks(hits: DataFrame, depth: int) -> DataFrame:
+    """Ranks 1 to ``depth`` per query, however deep that is."""
+    return top_ranks(hits, depth) if depth <= WINDOW_DEPTH else all_ranks(hits).filter(F.col("rank") <= F.lit(depth))
+
+
 def page_ranks(hits: DataFrame, requests: DataFrame, window_depth: int = WINDOW_DEPTH) -> DataFrame:
     """The hits of each request's page: rows of ``hits`` plus ``query_id`` and ``rank``.
 

@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, functions as F
 from pagesearch.config import SiteConfig
 from pagesearch.operators import postings as P
 from pagesearch.operators.hierarchy import with_hierarchy, with_score
+from pagesearch.operators.rank import all_ranks
 from pagesearch.operators.refresh import stale_documents, upsert_latest
 from pagesearch.operators.sections import documents_from_parts, parse_pages
 from pagesearch.operators.validate import drop_root_page, keep_valid_pages
-from pagesearch.session import materialize
-from pagesearch.sources.store import IndexStore, write_by_term
+from pagesearch.session import fits_broadcast, materialize
+from pagesearch.sources.store import IndexStore, doc_bucket, write_by_id, write_by_term
+
+DOCS_PER_BUCKET = 50_000
+PUSHED_IDS = 1_000
 
 Parser = Callable[[DataFrame, SiteConfig], DataFrame]
 
@@ -29,6 +33,9 @@ class SearchIndex:
     sites: DataFrame
     config: SiteConfig
     buckets: int | None = None  # term buckets of the stored postings, None when not stored
+    doc_buckets: int | None = None  # buckets of the stored documents, None when not stored
+    ranked: DataFrame | None = None  # (site, doc_id, url, score, rank): every site's documents by their own score
+    stored_documents: Callable[[], DataFrame] | None = None  # the documents with their bucket
 
 
 def parse_documents(pages: DataFrame, config: SiteConfig) -> DataFrame:
@@ -54,13 +61,25 @@ def index_documents(unique: DataFrame, config: SiteConfig) -> SearchIndex:
     return SearchIndex(unique, rows, P.dictionary(rows), P.corpus_size(unique), config)
 
 
+def static_ranks(docs: DataFrame) -> DataFrame:
+    """Rows ``(site, doc_id, url, score, rank)``: a site's documents as a star query without a section finds them."""
+    slim = docs.select(F.col("site").alias("qkey"), "doc_id", "url", F.round("score", 6).alias("score"))
+    return all_ranks(slim).withColumnRenamed("qkey", "site")
+
+
 def store_index(docs: DataFrame, config: SiteConfig, store: IndexStore, buckets: int = 64,
-                version: str | None = None) -> str:
-    """Write all tables of a new version; each is computed from the one written before it."""
+                version: str | None = None, doc_buckets: int | None = None) -> str:
+    """Write all tables of a new version; each is computed from the one written before it.
+
+    Without a number, documents get a bucket per ``DOCS_PER_BUCKET`` of them.
+    """
     version = version or store.new_version()
     path = lambda table: store.table_path(version, table)
-    upsert_latest(docs, ["page_id"]).hint("rebalance", "site") \
-        .write.mode("overwrite").partitionBy("site").parquet(path("documents"))
+    latest = upsert_latest(docs, ["page_id"])
+    if doc_buckets is None:
+        latest = materialize(latest, "latest")
+        doc_buckets = max(1, -(-latest.count() // DOCS_PER_BUCKET))
+    write_by_id(latest, path("documents"), doc_buckets)
     if store.is_empty(version):
         return version
     stored = store.read("documents", version)
@@ -68,7 +87,10 @@ def store_index(docs: DataFrame, config: SiteConfig, store: IndexStore, buckets:
     write_by_term(built.postings, path("postings"), buckets)
     P.dictionary(store.read("postings", version)).write.mode("overwrite").parquet(path("terms"))
     built.sites.write.mode("overwrite").parquet(path("sites"))
-    store.spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(path("layout"))
+    static_ranks(stored).hint("rebalance", "site").sortWithinPartitions("site", "rank") \
+        .write.mode("overwrite").parquet(path("ranked"))
+    store.spark.createDataFrame([(buckets, doc_buckets)], "buckets int, doc_buckets int") \
+        .write.mode("overwrite").parquet(path("layout"))
     return version
 
 
@@ -76,8 +98,28 @@ def open_index(store: IndexStore, config: SiteConfig, version: str | None = None
     """The published index, or one version of it; its number of term buckets is stored with it."""
     version = version or store.current()
     read = lambda table: store.read(table, version)
-    buckets = read("layout").first().buckets
-    return SearchIndex(read("documents"), read("postings"), read("terms"), read("sites"), config, buckets)
+    layout = read("layout").first()
+    return SearchIndex(read("documents").drop("doc_bucket"), read("postings"), read("terms"), read("sites"), config,
+                       layout.buckets, layout.doc_buckets, read("ranked"), lambda: read("documents"))
+
+
+def documents_of(wanted: DataFrame, index: SearchIndex, *columns: str) -> DataFrame:
+    """``wanted(site, doc_id, ...)`` with columns of their documents.
+
+    Ids that fit a broadcast name the document buckets to read, and up to ``PUSHED_IDS`` of them are pushed to the
+    scan, whose files are sorted by id. More ids are joined, and the documents are read as a whole.
+    """
+    small = fits_broadcast(wanted)
+    docs = index.documents
+    if small and index.stored_documents is not None:
+        docs = index.stored_documents()
+        ids = wanted.select("doc_id").distinct().take(PUSHED_IDS + 1)
+        buckets = wanted.select(doc_bucket(F.col("site"), F.col("doc_id"), index.doc_buckets)).distinct().collect()
+        docs = docs.filter(F.col("doc_bucket").isin([row[0] for row in buckets]))
+        if len(ids) <= PUSHED_IDS:
+            docs = docs.filter(F.col("doc_id").isin([row.doc_id for row in ids]))
+    found = docs.select("site", "doc_id", *columns)
+    return found.join(F.broadcast(wanted) if small else wanted, ["site", "doc_id"])
 
 
 def reindex(pages: DataFrame, config: SiteConfig, store: IndexStore, parser: Parser = parse_documents,

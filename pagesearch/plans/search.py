@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,8 +15,8 @@ from pagesearch.operators import match as M, rank as K
 from pagesearch.operators.postings import single_word_groups
 from pagesearch.operators.render import highlight, project_result, summarize
 from pagesearch.operators.skew import lookup_join
-from pagesearch.plans.index_site import SearchIndex
-from pagesearch.session import fits_broadcast, materialize
+from pagesearch.plans.index_site import SearchIndex, documents_of
+from pagesearch.session import materialize
 
 QUERY_WORD = "(" + TOKEN[1:-1] + r"\*?)"
 
@@ -29,9 +30,13 @@ class SearchResult:
 
     hits: DataFrame
     totals: DataFrame
-    scored: DataFrame
+    find_all: Callable[[], DataFrame]
     requests: DataFrame
 
+    @property
+    def scored(self) -> DataFrame:
+        return self.find_all()
+
 
 def resolve_sites(requests: DataFrame, sites: DataFrame, default_site: str) -> DataFrame:
     """Add ``site`` and ``status``; a request without a site uses the default one."""
@@ -88,18 +93,52 @@ def match_everything(queries: DataFrame, index: SearchIndex) -> DataFrame:
         .select("qkey", "site", "doc_id", "doc_score", F.lit(1.0).alias("base"), F.lit(1.0).alias("slop"))
 
 
+def sections_of(queries: DataFrame) -> DataFrame:
+    """``qkey, site, section_tokens`` of the queries that are asked from a section."""
+    return queries.select("qkey", "site", tokens(F.col("section")).alias("section_tokens")) \
+        .filter(F.size("section_tokens") > 0)
+
+
 def score_queries(queries: DataFrame, index: SearchIndex) -> DataFrame:
-    """All hits of the distinct queries ``(qkey, site, query_text, section)`` with their final score."""
+    """All hits of the distinct queries ``(qkey, site, query_text, section)`` with words, with their final score."""
     slots = materialize(text_slots(queries), "slots")
-    hits = M.match(slots, index)
-    stars = queries.filter(is_match_all(F.col("query_text")))
-    if not stars.isEmpty():
-        hits = hits.unionByName(match_everything(stars, index))
-    in_section = queries.select("qkey", "site", tokens(F.col("section")).alias("section_tokens")) \
-        .filter(F.size("section_tokens") > 0)
+    hits = materialize(M.match(slots, index), "matches")
+    in_section = sections_of(queries)
     if in_section.isEmpty():
         return K.final_score(hits.withColumn("section_part", F.lit(None).cast("double")))
-    return K.final_score(M.section_scores(materialize(hits, "matches"), in_section, index))
+    return K.final_score(M.section_scores(hits, in_section, index))
+
+
+def score_stars(stars: DataFrame, index: SearchIndex) -> DataFrame:
+    """All documents for every star query: as many rows as both multiplied. Pages come from ``top_stars``."""
+    hits = match_everything(stars, index)
+    in_section = sections_of(stars)
+    if in_section.isEmpty():
+        return K.final_score(hits.withColumn("section_part", F.lit(None).cast("double")))
+    inside = M.section_documents(in_section, index).select("qkey", "site", "doc_id", "section_part")
+    return K.final_score(hits.join(inside, ["qkey", "site", "doc_id"], "left"))
+
+
+def top_stars(stars: DataFrame, index: SearchIndex, depth: int) -> DataFrame:
+    """Rows ``(qkey, site, doc_id, score)`` that hold the first ``depth`` hits of every star query.
+
+    A document outside the section can only be among them with a static rank up to ``depth``, as the section
+    lifts the others. So the stored rank list is read that far, and the documents of each distinct section are read
+    once and cut to ``depth`` before queries share them.
+    """
+    groups = stars.select("site", "section").distinct().withColumn("skey", F.md5(F.concat_ws("\x1f", "site", "section")))
+    ranked = index.ranked if index.ranked is not None else K.first_ranks(
+        index.documents.select(F.col("site").alias("qkey"), "site", "doc_id", F.round("score", 6).alias("score")), depth)
+    first = lookup_join(ranked.filter(F.col("rank") <= depth).select("site", "doc_id", "score"), groups, ["site"], ["doc_id"])
+    in_section = sections_of(groups.withColumnRenamed("skey", "qkey"))
+    hits = first.select("skey", "site", "doc_id", "score")
+    if not in_section.isEmpty():
+        inside = K.final_score(M.section_documents(in_section, index)).select("qkey", "site", "doc_id", "score")
+        lifted = materialize(K.first_ranks(inside, depth).select(F.col("qkey").alias("skey"), "site", "doc_id", "score"), "section-hits")
+        # a document of the static list that the section lifts has its higher score
+        hits = hits.unionByName(lifted).groupBy("skey", "site", "doc_id").agg(F.max("score").alias("score"))
+    asked = stars.join(groups, ["site", "section"]).select("qkey", "skey")
+    return lookup_join(hits, asked, ["skey"], ["doc_id"]).select("qkey", "site", "doc_id", "score")
 
 
 def landing_hits(prepared: DataFrame, landing_pages: DataFrame) -> DataFrame:
@@ -122,10 +161,9 @@ def show_hits(page: DataFrame, prepared: DataFrame, index: SearchIndex) -> DataF
     marks = prepared.select("query_id", exact.alias("words"), F.transform(exact, stem).alias("stems"),
                             F.transform(F.filter(words, lambda w: w["kind"] == "prefix"),
                                         lambda w: w["text"]).alias("prefixes"))
-    small = fits_broadcast(prepared, 2000)  # times at most 100 hits each
-    docs = index.documents.drop("score")
-    shown = docs.join(F.broadcast(page) if small else page, ["site", "doc_id"])
-    shown = K.first_per_url(shown).join(marks, "query_id")
+    page = materialize(page, "page")  # ids and ranks; at most 100 rows a request
+    shown = documents_of(page, index, "url", "title", "section_title", "hierarchy", "body")
+    shown = lookup_join(K.first_per_url(shown), marks, ["query_id"], ["doc_id"])
     marked = {name: highlight(F.col(name), F.col("words"), F.col("stems"), F.col("prefixes"))
               for name in ("title", "section_title", "body")}
     shown = shown.withColumns(marked).withColumn("body", summarize(F.col("body")))
@@ -136,16 +174,32 @@ def search(index: SearchIndex, requests: DataFrame, default_site: str, landing_p
            dedupe_before_limit: bool = False) -> SearchResult:
     """Answer a whole table of requests ``(query_id, q, from_url, start, num, site)``.
 
-    Equal queries are matched once. Bodies are read only for the hits that are returned.
+    Equal queries are matched once. Bodies are read only for the hits that are returned, and star queries read the
+    stored rank list as far as their pages go; ``scored`` works out all their hits only when it is read.
     """
     prepared = materialize(prepare_requests(requests, index, default_site), "requests")
     usable = prepared.filter(F.col("status") == "ok")
-    queries = usable.select("qkey", "site", "query_text", "section").distinct()
-    scored = materialize(score_queries(queries, index), "hits")
+    queries = materialize(usable.select("qkey", "site", "query_text", "section").distinct(), "queries")
+    star = is_match_all(F.col("query_text"))
+    texts, stars = queries.filter(~star), queries.filter(star)
+    with_words = found = materialize(score_queries(texts, index), "hits")
+    counts, any_star = K.totals(found), not stars.isEmpty()
+
+    def find_all() -> DataFrame:
+        return with_words.unionByName(score_stars(stars, index).select(*with_words.columns)) if any_star else with_words
+
+    if any_star:
+        counts = counts.unionByName(stars.join(index.sites, "site").select("qkey", F.col("n_docs").alias("total")))
+        if not dedupe_before_limit:
+            asked = usable.join(stars.select("qkey"), "qkey", "left_semi")
+            depth = asked.agg(F.max(F.col("start").cast("long") + F.col("num")).alias("end")).first().end
+            found = found.select("qkey", "site", "doc_id", "score").unionByName(top_stars(stars, index, depth))
     columns = ["query_id", "rank", "title", "section_title", "hierarchy", "body", "url"]
-    ranked = scored
+    ranked = found
     if dedupe_before_limit:
-        urls = index.documents.select("site", "doc_id", "url")
+        # fewer URLs than documents: how deep the page reaches is not known from the ranks
+        scored = find_all()
+        urls = (index.ranked if index.ranked is not None else index.documents).select("site", "doc_id", "url")
         best = F.min(F.struct((-F.col("score")).alias("low"), "doc_id")).alias("_best")
         ranked = scored.join(urls, ["site", "doc_id"]).groupBy("qkey", "site", "url").agg(best) \
             .select("qkey", "site", F.col("_best.doc_id").alias("doc_id"), (-F.col("_best.low")).alias("score"))
@@ -155,6 +209,6 @@ def search(index: SearchIndex, requests: DataFrame, default_site: str, landing_p
         landing = landing_hits(usable, landing_pages).select(*columns)
         hits = hits.join(landing.select("query_id", "url"), ["query_id", "url"], "left_anti") \
             .select(*columns).unionByName(landing)
-    counted = lookup_join(prepared.select("query_id", "status", "qkey"), K.totals(scored), ["qkey"], ["query_id"], "left")
+    counted = lookup_join(prepared.select("query_id", "status", "qkey"), counts, ["qkey"], ["query_id"], "left")
     request_totals = counted.select("query_id", "status", F.coalesce("total", F.lit(0)).alias("total"))
-    return SearchResult(hits, request_totals, scored, prepared)
+    return SearchResult(hits, request_totals, find_all, prepared)

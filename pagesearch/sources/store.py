@@ -36,6 +36,17 @@ def write_by_term(rows: DataFrame, path: str, buckets: int) -> None:
         .write.mode("overwrite").partitionBy("site", "term_bucket").parquet(path)
 
 
+def write_by_id(docs: DataFrame, path: str, buckets: int) -> None:
+    """Documents in hash buckets of their key, sorted inside, so that a point look-up reads few row groups."""
+    bucketed = docs.withColumn("doc_bucket", doc_bucket(F.col("site"), F.col("doc_id"), buckets))
+    bucketed.hint("rebalance", "doc_bucket").sortWithinPartitions("doc_bucket", "doc_id") \
+        .write.mode("overwrite").partitionBy("doc_bucket").parquet(path)
+
+
+def doc_bucket(site, doc_id, buckets: int):
+    return F.pmod(F.xxhash64(site, doc_id), F.lit(buckets)).cast("int")
+
+
 def term_bucket(term, buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -86,9 +97,9 @@ class IndexStore:
         context.rename(side, jvm.org.apache.hadoop.fs.Path(f"{self.home}/{POINTER}"), modes)
 
     def is_empty(self, version: str) -> bool:
-        """True when no site folder was written under the documents of a version."""
+        """True when no bucket was written under the documents of a version."""
         names = _children(self.spark, self.table_path(version, "documents"))
-        return not any(name.startswith("site=") for name in names)
+        return not any(name.startswith("doc_bucket=") for name in names)
 
     def publish_unless_empty(self, version: str) -> bool:
         """An empty crawl drops its version and leaves the alias where it was."""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pagesearch.functions import scores as K
 from pagesearch.functions.text import all_tokens, escape_literals, stem, tokens, unescape
 from pagesearch.operators import hierarchy as H, links as L, postings as P, refresh as R, render, validate as V
-from pagesearch.plans.index_site import enrich
+from pagesearch.plans.index_site import SearchIndex, enrich
 from pagesearch.session import materialize
 from pagesearch.workload import Check, sqltext as Q, table
 from pagesearch.workload.corpus import (corpus_documents, corpus_index, corpus_pages, index_pages, scored_corpus,
@@ -84,6 +84,10 @@ def copies(spark: SparkSession, folder: str) -> DataFrame:
 _COPIES = f"WITH {_NEXT}, copies AS (SELECT page_id, doc_key, url FROM docs UNION ALL SELECT page_id + 1000000000, doc_key, url FROM docs2) "
 
 
+STATS_SQL = _INDEX + ("SELECT 'documents' AS stat, '' AS name, CAST(n_docs AS DOUBLE) AS value FROM sizes UNION ALL "
+                      "SELECT 'df', term, CAST(df AS DOUBLE) FROM dictionary UNION ALL SELECT 'max_wtf', doc_id, round(max_wtf, 6) FROM norms")
+
+
 def flat_postings(spark: SparkSession, folder: str) -> DataFrame:
     return P.postings(corpus_index(spark, folder).postings)
 
@@ -187,16 +191,14 @@ CHECKS = {
         lambda s, d: flat_postings(s, d).groupBy("term", "doc_id").agg(F.round(F.sum("wtf"), 6).alias("wtf")),
         _INDEX + "SELECT term, doc_id, round(wtf, 6) AS wtf FROM term_docs"),
     "corpus_stats": Check(
-        lambda s, d: _stats(s, d),
-        _INDEX + "SELECT 'documents' AS stat, '' AS name, CAST(n_docs AS DOUBLE) AS value FROM sizes UNION ALL "
-                 "SELECT 'df', term, CAST(df AS DOUBLE) FROM dictionary UNION ALL SELECT 'max_wtf', doc_id, round(max_wtf, 6) FROM norms"),
+        lambda s, d: index_stats(corpus_index(s, d)), STATS_SQL),
     "index_scan_ids": Check(
         lambda s, d: corpus_index(s, d).documents.select("doc_id"), _INDEX + "SELECT doc_id FROM unique_docs"),
 }
 
 
-def _stats(spark: SparkSession, folder: str) -> DataFrame:
-    index = corpus_index(spark, folder)
+def index_stats(index: SearchIndex) -> DataFrame:
+    """Sizes, document frequencies and norms of an index as one table."""
     sizes = index.sites.select(F.lit("documents").alias("stat"), F.lit("").alias("name"), F.col("n_docs").cast("double").alias("value"))
     dfs = index.terms.select(F.lit("df"), "term", F.col("df").cast("double"))
     norms = index.postings.groupBy("doc_id").agg(F.max("max_wtf").alias("m")).select(F.lit("max_wtf"), "doc_id", F.round("m", 6))

@@ -10,14 +10,18 @@ from pagesearch.functions import requests as R
 from pagesearch.functions.text import TOKEN
 from pagesearch.operators import match as M, rank as K, render
 from pagesearch.operators.postings import single_word_groups
-from pagesearch.operators.skew import lookup_join
-from pagesearch.plans.search import SearchResult, landing_hits, prepare_requests, search
+from pagesearch.plans.index_site import documents_of
+from pagesearch.plans.search import SearchResult, landing_hits, match_everything, prepare_requests, search, top_stars
 from pagesearch.session import materialize
 from pagesearch.workload import Check, sqltext as Q
 from pagesearch.workload.corpus import corpus_index
 from pagesearch.workload.requests_checks import LANDING_SQL, OTHER, _LANDING_URL, landing_pages
 from pagesearch.workload.sites import CORPUS, ROOT
 
+# Star queries of several sections and depths; the last starts behind the hits of its section
+STARS = [(1, "*", None, 0, 10, None), (2, "**", f"{ROOT}/src4/fr", 5, 20, None), (3, "*", f"{ROOT}/src0/x", 0, 100, None),
+         (4, "*", f"{ROOT}/src4", 0, 30, None), (5, "*", f"{ROOT}/nowhere/", 40, 10, None), (6, "*", f"{ROOT}/src1", 300, 50, None)]
+
 SLOT_SCHEMA = "qkey string, site string, slot int, occur string, kind string, text string, field string"
 REQUEST_SCHEMA = "query_id long, q string, from_url string, start int, num int, site string"
 
@@ -220,6 +224,19 @@ results AS (
   UNION ALL SELECT query_id, rank, title, section_title, array_to_string(hierarchy, ' > '), body, url FROM landed)"""
 _RESULTS = f"{_SEARCH}, {_MARKS} "
 
+END_TO_END_SQL = _RESULTS + "SELECT query_id, rank, title, section_title, hierarchy, body, url FROM results"
+
+_STAR_SQL = f"""WITH {Q.CORPUS_INDEX},
+asked AS (SELECT query_id, start, num, {Q.section(f"'{ROOT}'", "coalesce(from_url, '')")} AS section FROM (SELECT * FROM {Q.values(STARS, 'query_id, q, from_url, start, num, site')})),
+section_words AS (SELECT DISTINCT query_id, unnest(sec) AS term, len(list_distinct(sec)) AS n FROM (SELECT query_id, {Q.tokens('section')} AS sec FROM asked)),
+section_hits AS (
+  SELECT s.query_id, w.doc_id, sum(w.part) AS section_part FROM section_words s
+  JOIN weighted w ON w.term = s.term AND w.field = 's' GROUP BY s.query_id, w.doc_id, s.n HAVING count(*) = s.n),
+final AS (SELECT a.query_id, a.start, a.num, d.doc_id, round(d.score * (1 + coalesce(10.0 * section_part + 1, 0)), 6) AS score
+  FROM asked a CROSS JOIN unique_docs d LEFT JOIN section_hits h ON h.query_id = a.query_id AND h.doc_id = d.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM final)
+SELECT query_id, doc_id, score, rank FROM ranked WHERE rank > start AND rank <= start + num"""
+
 _answers: dict[tuple[str, str], SearchResult] = {}
 
 
@@ -248,8 +265,24 @@ def shown_page(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def with_urls(spark: SparkSession, folder: str) -> DataFrame:
-    urls = corpus_index(spark, folder).documents.select("doc_id", "url")
-    return lookup_join(urls, shown_page(spark, folder), ["doc_id"], ["doc_id"])
+    return documents_of(shown_page(spark, folder), corpus_index(spark, folder), "url")
+
+
+def every_document(spark: SparkSession, folder: str) -> DataFrame:
+    """All hits of one star query."""
+    star = spark.createDataFrame([("all", ROOT)], "qkey string, site string")
+    hits = match_everything(star, corpus_index(spark, folder))
+    return hits.select("doc_id", F.round(F.col("doc_score") * F.col("base"), 6).alias("score"))
+
+
+def star_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of many star queries, from the stored rank list and the lists of their sections."""
+    asked = spark.createDataFrame(STARS, REQUEST_SCHEMA)
+    index = corpus_index(spark, folder)
+    prepared = materialize(prepare_requests(asked, index, ROOT), "star-requests")
+    stars = prepared.select("qkey", "site", "section").distinct()
+    page = K.page_ranks(top_stars(stars, index, max(start + num for _, _, _, start, num, _ in STARS)), prepared)
+    return page.select("query_id", "doc_id", "score", "rank")
 
 
 def highlighted(spark: SparkSession, folder: str) -> DataFrame:
@@ -274,8 +307,9 @@ CHECKS = {
     "search_and": matched(_AND),
     "search_prefix": matched(must("p1", "laleen", kind="prefix") + must("p2", "thorn", kind="prefix") + [("p2", 1, "must", "exact", "ha", "")]),
     "search_match_all": Check(
-        lambda s, d: corpus_index(s, d).documents.select("doc_id", F.round("score", 6).alias("score")),
+        lambda s, d: every_document(s, d),
         f"WITH {Q.CORPUS_INDEX} SELECT doc_id, round(score, 6) AS score FROM unique_docs"),
+    "search_star_pages": Check(star_pages, _STAR_SQL),
     "search_synonym": matched(must("s1", "pas") + must("s2", "avec", "et") + must("s3", "para")),
     "search_tfidf": matched(must("one", "nicht") + must("stem", "disgusting") + must("plural", "tiones")),
     "search_slop": Check(
@@ -286,8 +320,7 @@ CHECKS = {
         .select("query_id", "doc_id", "score"),
         _SEARCH + " SELECT query_id, doc_id, score FROM final JOIN prepared USING (qkey) WHERE section <> '' AND ok"),
     "search_tag": Check(
-        lambda s, d: corpus_index(s, d).documents.join(
-            answer(s, d).scored.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "url", "type"),
+        lambda s, d: M.tagged(answer(s, d).scored, corpus_index(s, d), "url", "type").select("doc_id", "url", "type"),
         _SEARCH + " SELECT doc_id, url, type FROM unique_docs WHERE doc_id IN (SELECT doc_id FROM final)"),
     "search_phrase": matched([("ph", 0, "must", "phrase", "avec les", ""), ("in_title", 0, "must", "phrase", "de la", "title"),
                               ("both", 0, "must", "phrase", "auf der", ""), ("both", 1, "must", "exact", "nicht", "")]),
@@ -332,8 +365,7 @@ CHECKS = {
                    "'body': body, 'url': url} ORDER BY rank) FILTER (WHERE rank IS NOT NULL), [])})::VARCHAR AS response "
                    "FROM prepared LEFT JOIN totals USING (qkey) LEFT JOIN results USING (query_id) WHERE ok GROUP BY query_id"),
     "search_end_to_end": Check(
-        lambda s, d: flat(fresh_answer(s, d).hits),
-        _RESULTS + "SELECT query_id, rank, title, section_title, hierarchy, body, url FROM results"),
+        lambda s, d: flat(fresh_answer(s, d).hits), END_TO_END_SQL),
 }
 
 

@@ -11,7 +11,7 @@ from pagesearch.functions.scores import boost_pages
 from pagesearch.operators import match as M, rank as K, skew
 from pagesearch.operators.refresh import refresh_diff, upsert_latest
 from pagesearch.plans.index_site import index_documents, open_index, parse_documents, reindex
-from pagesearch.plans import search as P
+from pagesearch.plans import index_site
 from pagesearch.plans.search import search
 from pagesearch.session import fresh_path, materialize
 from pagesearch.sources.catalogue import configured_landing_pages
@@ -151,7 +151,7 @@ def test_salted_joins_give_the_same(spark, index, monkeypatch):
     monkeypatch.setattr(skew, "fits_broadcast", lambda df, max_rows=0: False)
     monkeypatch.setattr(M, "fits_broadcast", lambda df, max_rows=0: False)
     monkeypatch.setattr(K, "fits_broadcast", lambda df, max_rows=0: False)
-    monkeypatch.setattr(P, "fits_broadcast", lambda df, max_rows=0: False)
+    monkeypatch.setattr(index_site, "fits_broadcast", lambda df, max_rows=0: False)
     monkeypatch.setattr(M.SlotProfile, "fits", False)
     assert answer() == broadcast
 
