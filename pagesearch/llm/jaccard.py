@@ -322,7 +322,10 @@ def verified_links(own: DataFrame, keyed: DataFrame, docs: DataFrame, percent: i
     first = _searched(most, own, docs, percent, block, width)
     roots = components(first)
     rooted = keyed.join(roots, keyed["a"] == roots["node"], "left").select("a", "key", F.coalesce("root", "a").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    # texts that are alike but not enough share many keys: of keys with the same sets one is searched
+    sets = [F.bit_xor(F.xxhash64("a")).alias("these"), F.bit_xor(F.xxhash64("a", F.lit(1))).alias("those"), F.count(F.lit(1)).alias("held")]
+    open_keys = (rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), *sets).where("least <> most")
+                 .groupBy("these", "those", "held").agg(F.min("key").alias("key")))
     rest = materialize(keyed.join(open_keys.select("key"), "key").select("a", "key"), "open-keys")
     return first.unionByName(_searched(rest, own, docs, percent, block, width))
 
