@@ -1,6 +1,7 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction of what they miss.
 
-What the fixed patterns find are seed entities. The words around them are lexical patterns; patterns and
+What the fixed patterns find are seed entities, and so is what stands behind the names of SEED_NAMES, given
+lexical patterns for a fifth kind. The words around seeds and the shapes of their values are patterns; patterns and
 instances (values that look like identifiers) form a graph. In each round a pattern's score is the score
 mass of its distinct instances over their number, and an instance's score is the noisy-or of its patterns;
 instances that pass become entities of the next round. Patterns that stay confident mark identifiers the
@@ -19,12 +20,26 @@ from pagesearch.llm.common import SPACE, ascii_lower, let, spans_of, texts, tota
 from pagesearch.session import fits_broadcast, materialize
 
 KINDS = ["email", "ip", "card", "phone"]
+SECRET = len(KINDS)
+# Names before "=" or ":" whose values are seed entities of the kind "secret", as patterns in lower case
+SEED_NAMES = (
+    "password", "passwd", "passphrase", "passcode", "pwd", "pin", "secret", "token", "credential",
+    "(?:api|access|secret|private|account)[_ -]?key", "ssn", "social security(?: number)?", "passport(?: (?:no|number))?",
+    "iban", "account(?: (?:no|number))?", "tax[_ -]?id",
+)
 _EMAIL = (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+_SEED = (rf"(?i)(?<![a-z0-9])(?:{'|'.join(SEED_NAMES)})[\"']?\x20?[:=]\x20?[\"']?"
+         rf"([^{SPACE}0-9\"',;]*+[0-9][^{SPACE}\"',;]*+)")
 _IDENTIFIER = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
 
+# quotes and brackets around a value, and the signs behind it
+_OPENING, _CLOSING = r"""^["'(\[{<]+""", r"""["')\]}>.,;:!?]+\z"""
+_OPEN_END, _CLOSED_START = r"""["'(\[{<]+\z""", r"""^["')\]}>.,;:!?]+"""
+_NAMED = rf"""([\p{{L}}_][\p{{L}}\p{{N}}_-]*)["']?[{SPACE}]*([:=#]*)[{SPACE}]*\z"""
+
 CONTEXT = 64            # characters on each side in which context words are looked for
 ROUNDS = 3
 SMOOTHING = 2.0         # added to a pattern's instances: one seed alone gives no confidence
@@ -85,40 +100,82 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
+def _apart(spans: Column, taken: str) -> Column:
+    """The spans of enough characters that overlap none of a column of spans."""
+    return F.filter(spans, lambda w: (F.length(w["value"]) >= LEAST_LENGTH) & ~F.exists(
+        taken, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+
+
+def seed_spans(text: Column) -> Column:
+    """What stands behind the names of SEED_NAMES, without the names."""
+    def value_of(x: Column) -> Column:
+        value = F.regexp_extract(x["value"], _SEED, 1)
+        return F.struct(x["kind"].alias("kind"), (x["end"] - F.length(value)).alias("start"), x["end"].alias("end"), value.alias("value"))
+
+    return F.transform(spans_of(text, _SEED, SECRET, text.rlike(_SEED)), value_of)
+
+
+def _trimmed(words: Column) -> Column:
+    """Words without the quotes and brackets around them and the signs that end a sentence."""
+    def trimmed(x: Column) -> Column:
+        before = F.length(F.regexp_extract(x["value"], _OPENING, 0))
+        value = F.regexp_replace(F.substr(x["value"], before + 1), _CLOSING, "")
+        return F.struct(x["kind"].alias("kind"), (x["start"] + before).alias("start"),
+                        (x["start"] + before + F.length(value)).alias("end"), value.alias("value"))
+
+    return F.transform(words, trimmed)
+
+
 def _found(docs: DataFrame) -> DataFrame:
-    """Per row: ids, base spans and the identifier-like words outside them; written, so that ids are fixed."""
+    """Per row: ids, base spans, seeds and the identifier-like words outside them; written, so that ids are fixed."""
     named = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     based = named.withColumn("base", base_spans(F.col("text")))
-    words = spans_of(F.col("text"), _IDENTIFIER, -1, F.col("text").rlike("[0-9@]"))
-    free = F.filter(words, lambda w: (F.length(w["value"]) >= LEAST_LENGTH) & ~F.exists(
-        "base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return materialize(based.withColumn("free", free).select(F.monotonically_increasing_id().alias("row_id"), "doc_id",
+    seeded = based.withColumn("seeds", _apart(seed_spans(F.col("text")), "base")).withColumn("taken", F.concat("base", "seeds"))
+    words = _trimmed(spans_of(F.col("text"), _IDENTIFIER, -1, F.col("text").rlike("[0-9@]")))
+    return materialize(seeded.withColumn("free", _apart(words, "taken")).select(F.monotonically_increasing_id().alias("row_id"), "doc_id",
                                     F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit("b"), "text").alias("text_b"),
                                     _framed(F.col("text"), F.col("base")).alias("base"),
+                                    _framed(F.col("text"), F.col("seeds")).alias("seeds"),
                                     _framed(F.col("text"), F.col("free")).alias("words")), "pii-found")
 
 
+def _shape(value: Column) -> Column:
+    """Digits and letters of a value by their classes; only the length of hexadecimal ones, which mix both at will."""
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), "[A-Z]", "A"), "[a-z]", "a")
+    return F.when(value.rlike("^[0-9a-f]{16,}$"), F.concat(F.lit("x"), F.length(value).cast("string"))).otherwise(classes)
+
+
 def _patterns(spans: DataFrame) -> DataFrame:
-    """Two lexical patterns per span: the two words before it, and the words on both sides."""
-    before = F.regexp_extract_all(ascii_lower(F.col("left")), F.lit(rf"[^{SPACE}]+"), F.lit(0))
-    after = F.regexp_extract_all(ascii_lower(F.col("right")), F.lit(rf"[^{SPACE}]+"), F.lit(0))
-    sides = spans.withColumns({"_before": F.slice(F.reverse(before), 1, 2), "_after": F.slice(after, 1, 1)})
+    """The patterns of each span, quotes and brackets around it left out.
+
+    L: the two words before it. B: the words on both sides. W: the nearest word before it, behind which only signs
+    may stand. P: that word and these signs. S: the shape of the value.
+    """
+    left = F.regexp_replace(ascii_lower(F.col("left")), _OPEN_END, "")
+    right = F.regexp_replace(ascii_lower(F.col("right")), _CLOSED_START, "")
+    before = F.regexp_extract_all(left, F.lit(rf"[^{SPACE}]+"), F.lit(0))
+    after = F.regexp_extract_all(right, F.lit(rf"[^{SPACE}]+"), F.lit(0))
+    sides = spans.withColumns({"_before": F.slice(F.reverse(before), 1, 2), "_after": F.slice(after, 1, 1),
+                               "_word": F.regexp_extract(left, _NAMED, 1), "_sign": F.regexp_extract(left, _NAMED, 2)})
     keys = F.array(
+        F.when(F.col("_word") != "", F.concat_ws(" ", F.lit("W"), "_word")),
+        F.when((F.col("_word") != "") & (F.col("_sign") != ""), F.concat_ws(" ", F.lit("P"), "_word", "_sign")),
+        F.concat(F.lit("S "), _shape(F.col("value"))),
         F.when(F.size("_before") == 2, F.concat_ws(" ", F.lit("L"), F.element_at("_before", 2), F.element_at("_before", 1))),
         F.when((F.size("_before") > 0) & (F.size("_after") > 0),
                F.concat_ws(" ", F.lit("B"), F.element_at("_before", 1), F.element_at("_after", 1))))
     return (sides.withColumn("pattern", F.explode(F.filter(keys, lambda k: k.isNotNull())))
-            .drop("_before", "_after", "left", "right"))
+            .drop("_before", "_after", "_word", "_sign", "left", "right"))
 
 
 def bootstrap(found: DataFrame) -> DataFrame:
-    """Confident patterns ``pattern, kind, score`` learnt from ``found(base, words)``.
+    """Confident patterns ``pattern, kind, score`` learnt from ``found(base, seeds, words)``.
 
     Only patterns that surround an entity of the round can score: seeds first, then also the instances that passed,
     with all their contexts. Each round's graph is cut down to those patterns. Copies of a text add nothing: edges
     are distinct pairs of pattern and value.
     """
-    seeds = _patterns(found.select(F.explode("base").alias("s")).select("s.kind", "s.value", "s.left", "s.right"))
+    seeds = _patterns(found.select(F.explode(F.concat("base", "seeds")).alias("s")).select("s.kind", "s.value", "s.left", "s.right"))
     unknown = _patterns(found.select(F.explode("words").alias("s")).select("s.value", "s.left", "s.right"))
     unknown = materialize(unknown.select("pattern", "value").distinct(), "pii-unknown")
     entities = materialize(seeds.distinct().select("pattern", "value", "kind", F.lit(1.0).alias("score")), "pii-seeds")
@@ -149,8 +206,8 @@ def bootstrap(found: DataFrame) -> DataFrame:
 def find_pii(docs: DataFrame) -> DataFrame:
     """``row_id, doc_id, text_a, text_b, base, more`` of every row of ``docs(doc_id, text)``.
 
-    ``base`` and ``more`` are arrays of spans: those of the fixed patterns, and those found by context. A
-    null text counts as empty; repeated rows each get their spans; no rows give no rows. A word found by
+    ``base`` and ``more`` are arrays of spans: those of the fixed patterns, and those found behind seed names and
+    by context. A null text counts as empty; repeated rows each get their spans; no rows give no rows. A word found by
     several kinds of pattern takes the best score, then the first kind.
     """
     found = _found(docs)
@@ -163,25 +220,31 @@ def find_pii(docs: DataFrame) -> DataFrame:
             .agg(F.max(F.struct("score", (-F.col("kind")).alias("order"))).alias("best"))
             .groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct(
                 (-F.col("best.order")).cast("int").alias("kind"), "start", "end"))).alias("more")))
+    def bare(spans: Column | str) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+    context = F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,end:int>>"))
     return (found.join(more, "row_id", "left")
-            .select("row_id", "doc_id", "text_a", "text_b",
-                    F.transform("base", lambda x: F.struct(x["kind"], x["start"], x["end"])).alias("base"),
-                    F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,end:int>>")).alias("more")))
+            .select("row_id", "doc_id", "text_a", "text_b", bare("base").alias("base"),
+                    F.sort_array(F.concat(bare("seeds"), bare(context))).alias("more")))
 
 
 def _written(spans: Column, prefix: str) -> Column:
-    names = F.array(*[F.lit(prefix + kind) for kind in KINDS])
+    names = F.array(*[F.lit(prefix + kind) for kind in [*KINDS, "secret"]])
     return F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"]))
 
 
 def op10_pii(docs: DataFrame) -> DataFrame:
+    """``n_more`` counts the spans that the method adds; ``has_personal_data`` is true for any span."""
     def count(kind: int) -> Column:
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
 
     base, more = _written(F.col("base"), ""), _written(F.col("more"), "like_")
     return find_pii(docs).select("doc_id", *[count(k) for k in range(len(KINDS))],
                                  F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
-                                 F.array_join(F.concat(base, more), ",").alias("spans"))
+                                 F.array_join(F.concat(base, more), ",").alias("spans"),
+                                 F.size("more").cast("long").alias("n_more"),
+                                 (F.size("base") + F.size("more") > 0).alias("has_personal_data"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -206,7 +269,7 @@ def redact(docs: DataFrame) -> DataFrame:
             F.concat(merged, F.array(x)))
 
     merged = F.aggregate(by_place, F.array().cast("array<struct<start:int,end:int,kind:int>>"), merge)
-    names = F.array(*[F.lit(f"[{kind.upper()}]") for kind in KINDS])
+    names = F.array(*[F.lit(f"[{kind.upper()}]") for kind in [*KINDS, "secret"]])
 
     def rewritten(text: Column) -> Column:
         def built(m: Column) -> Column:

@@ -1,7 +1,10 @@
 import hashlib
+import math
 import random
 import re
 
+import pytest
+import regex
 from llm.fixtures import awkward, awkward_rows, prose
 from pagesearch.llm import pii
 
@@ -106,5 +109,111 @@ def test_context_is_cut_by_position(spark):
     texts += ["1" * 64, "x" * 64 + " 12345 " + "y" * 130]
     for r in pii._found(awkward(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect():
         text = texts[r.doc_id]
-        for s in [*r.base, *r.words]:
+        for s in [*r.base, *r.seeds, *r.words]:
             assert (s.value, s.left, s.right) == (text[s.start:s.end], text[max(0, s.start - 64):s.start], text[s.end:s.end + 64])
+
+
+def plain_patterns(text, start, end):
+    low = lambda part: re.sub("[A-Z]", lambda m: m[0].lower(), part)
+    left = re.sub(r"""["'(\[{<]+\Z""", "", low(text[max(0, start - 64):start]))
+    right = re.sub(r"""\A["')\]}>.,;:!?]+""", "", low(text[end:end + 64]))
+    before, after = re.findall(r"[^ \t-\r]+", left), re.findall(r"[^ \t-\r]+", right)
+    value, found = text[start:end], []
+    if len(before) > 1:
+        found.append(f"L {before[-2]} {before[-1]}")
+    if before and after:
+        found.append(f"B {before[-1]} {after[0]}")
+    named = regex.search(r"""([\p{L}_][\p{L}\p{N}_-]*)["']?[ \t-\r]*([:=#]*)[ \t-\r]*\Z""", left)
+    if named:
+        found.append(f"W {named[1]}")
+        if named[2]:
+            found.append(f"P {named[1]} {named[2]}")
+    classes = re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", value)))
+    return found + [f"S x{len(value)}" if re.fullmatch("[0-9a-f]{16,}", value) else f"S {classes}"]
+
+
+def plain_more(texts):
+    """The spans beyond the base ones of each text, by a bootstrap in plain Python."""
+    names = "|".join(pii.SEED_NAMES)
+    seed = re.compile(rf"""(?i)(?<![a-z0-9])(?:{names})["']?\x20?[:=]\x20?["']?([^ \t-\r0-9"',;]*[0-9][^ \t-\r"',;]*)""")
+    rows, entities, unknown = [], set(), set()
+    for text in texts:
+        base = [(pii.KINDS.index(k), int(s), int(e)) for k, s, e in (x.split(":") for x in brute(text))]
+        apart = lambda s, e, taken: e - s >= 5 and not any(x < e and s < y for _, x, y in taken)
+        seeds = [(4, m.start(1), m.end(1)) for m in seed.finditer(text) if apart(m.start(1), m.end(1), base)]
+        words = []
+        for m in re.finditer(r"(?<![^ \t-\r])[^ \t-\r0-9@]*[0-9@][^ \t-\r]*", text):
+            s = m.start() + len(re.match(r"""["'(\[{<]*""", m[0])[0])
+            e = s + len(re.sub(r"""["')\]}>.,;:!?]+\Z""", "", text[s:m.end()]))
+            if apart(s, e, base + seeds):
+                words.append((s, e))
+        rows.append((text, seeds, words))
+        entities |= {(p, text[s:e], k) for k, s, e in base + seeds for p in plain_patterns(text, s, e)}
+        unknown |= {(p, text[s:e]) for s, e in words for p in plain_patterns(text, s, e)}
+    scored = {x: 1.0 for x in entities}
+    for number in range(pii.ROUNDS):
+        mass, known, opened = {}, {}, {}
+        for (p, _, k), score in scored.items():
+            mass[p, k] = mass.get((p, k), 0) + score
+        for p, v, _ in entities:
+            known.setdefault(p, set()).add(v)
+        for p, v in unknown:
+            opened.setdefault(p, set()).add(v)
+        size = {p: len(known.get(p, ())) + len(opened.get(p, ())) for p, _ in mass}
+        patterns = {(p, k): m / (size[p] + pii.SMOOTHING) for (p, k), m in mass.items() if m / (size[p] + pii.SMOOTHING) >= pii.PATTERN_SCORE}
+        if number + 1 == pii.ROUNDS:
+            break
+        doubt = {}
+        for p, v in unknown:
+            for k in range(5):
+                if (p, k) in patterns:
+                    doubt[v, k] = doubt.get((v, k), 0) + math.log(max(1 - patterns[p, k], 1e-12))
+        instances = {x: 1 - math.exp(d) for x, d in doubt.items() if 1 - math.exp(d) >= pii.INSTANCE_SCORE}
+        scored = {x: 1.0 for x in entities} | {(p, v, k): score for p, v in unknown for (w, k), score in instances.items() if w == v}
+    out = []
+    for text, seeds, words in rows:
+        more = list(seeds)
+        for s, e in words:
+            best = max(((patterns[p, k], -k) for p in plain_patterns(text, s, e) for k in range(5) if (p, k) in patterns), default=None)
+            if best:
+                more.append((-best[1], s, e))
+        out.append(sorted(more))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bootstrap_equals_plain_python(spark, seed):
+    rng = random.Random(seed)
+    names, signs = ["token", "Password", "ssn", "clé", "ref", "iban", "call", "box"], [" = ", ": ", " ", "=", " #", ' = "', " ("]
+    def value():
+        return rng.choice([lambda: "".join(rng.choice("0123456789abcdef") for _ in range(20)), lambda: f"{rng.randint(100, 999)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+                           lambda: f"u{rng.randint(1, 99)}@mail{rng.randint(1, 3)}.example.org", lambda: f"AB{rng.randint(10000, 99999)}X", lambda: f"item{rng.randint(1, 30)}",
+                           lambda: f"10.0.{rng.randint(0, 255)}.{rng.randint(0, 255)}", lambda: f"é{rng.randint(1000, 9999)}\".", lambda: "12"])()
+    texts = [prose(rng, rng.randint(0, 2)) + " " + " ".join(f"{rng.choice(names)}{rng.choice(signs)}{value()}{rng.choice([' ', '.', ', ', chr(34), chr(10)])}"
+             for _ in range(rng.randint(1, 3))) for _ in range(200)]
+    # contexts that mostly hold entities, and contexts that found instances lead on to
+    texts += [f"{prose(rng, 2)} {rng.choice(['write to: ', 'mail ('])}{rng.choice(['u%d@x%d.org', 'u%d@x%d.org', 'u%d@x%d.org', 'u-at-%d-x%d'])} {prose(rng, 1)}"
+              % (rng.randint(1, 10 ** 6), rng.randint(1, 4)) for _ in range(200)]
+    texts += [f"{prose(rng, 2)} reach u-at-{rng.randint(1, 40)}-x{rng.randint(1, 4)} {prose(rng, 1)}" for _ in range(20)]
+    texts += ['token = "%040x"' % rng.getrandbits(160) for _ in range(30)] + ['jeton = "%040x" 77-12' % rng.getrandbits(160) for _ in range(3)]
+    out = {r.doc_id: r for r in pii.op10_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    want, kinds = plain_more(texts), [f"like_{k}" for k in [*pii.KINDS, "secret"]]
+    assert sum(map(len, want)) > 100 and any(k < 4 for more in want for k, _, _ in more)
+    for i, text in enumerate(texts):
+        base = brute(text)
+        assert out[i].spans == ",".join(base + [f"{kinds[k]}:{s}:{e}" for k, s, e in want[i]]), text
+        assert out[i].n_more == len(want[i]) and out[i].has_personal_data == bool(base or want[i])
+
+
+def test_secrets_behind_names_and_their_contexts(spark):
+    rng = random.Random(21)
+    token = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f'{prose(rng, 6)} token = "{token()}" {prose(rng, 6)}', "en", "s", 0) for i in range(40)]
+    rows += [(100, f'{prose(rng, 6)} jeton = "{token()}" {prose(rng, 6)}', "en", "s", 0)]     # by its shape
+    rows += [(200 + i, prose(rng, 12), "en", "s", 0) for i in range(40)]
+    docs = awkward(spark, rows)
+    out = {r.doc_id: r for r in pii.op10_pii(docs).collect()}
+    assert all(out[i].spans.startswith("like_secret:") and out[i].n_more == 1 for i in [*range(40), 100])
+    assert not any(out[200 + i].has_personal_data for i in range(40))
+    text = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert all('token = "[SECRET]"' in text[i] for i in range(40)) and 'jeton = "[SECRET]"' in text[100]
