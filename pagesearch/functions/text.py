@@ -25,6 +25,8 @@ PUNCTUATION = r"""[,.<>{}\[\]\\"':;!@#$%^&*()\-+=~]"""
 SEPARATORS = r"""\t\n\f\r !"#$%&'()*+,\-./:;<=>?@\[\\\]\^`{|}~"""
 TOKEN = rf"((?:[^{SEPARATORS}]++|\\[^\p{{L}}\p{{N}}\s])++)"
 
+NEVER = r"\z\A."     # a pattern that matches nowhere
+
 REGEX_SIGNS = set(r".^$*+?{}[]\|()")
 
 # Index terms that are not plain tokens carry a mark with a space, which no token can contain.
@@ -54,29 +56,33 @@ def literal_pattern(terms: Sequence[str]) -> str:
     return f"(?iud){either}"
 
 
-def escape_literals(text: Column, terms: Sequence[str]) -> Column:
+def escape_literals(text: Column, terms: Sequence[str] | Column) -> Column:
     """Backslash the punctuation inside each case-insensitive match of a literal term.
 
     The text is cut at the matches, each match is escaped, and both are laced together again; a
-    term may match inside a word. A text without a match passes through.
+    term may match inside a word. A text without a match passes through. A column holds each row's own
+    ``literal_pattern``, empty or null for none.
     """
-    terms = [term for term in terms if term]
-    if not terms:
-        return text
-    pattern = literal_pattern(terms)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if isinstance(terms, Column):
+        pattern = F.when(terms != "", terms).otherwise(NEVER)
+    else:
+        terms = [term for term in terms if term]
+        if not terms:
+            return text
+        pattern = F.lit(literal_pattern(terms))
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     around = F.split(text, pattern, -1)
     laced = F.zip_with(
         around, found,
         lambda gap, hit: F.concat(gap, F.coalesce(F.regexp_replace(hit, PUNCTUATION, r"\\$0"), F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(laced, "")).otherwise(text)
+    return F.when(F.rlike(text, pattern), F.array_join(laced, "")).otherwise(text)
 
 
 def unescape(text: Column) -> Column:
     return F.replace(text, F.lit("\\"), F.lit(""))
 
 
-def prepare_text(text: Column, terms: Sequence[str] = (), strip_symbols: bool = False) -> Column:
+def prepare_text(text: Column, terms: Sequence[str] | Column = (), strip_symbols: bool = False) -> Column:
     base = F.replace(strip(text), F.lit("\n"), F.lit(" "))
     if strip_symbols:
         base = F.replace(base, F.lit("#"), F.lit(" "))

@@ -23,21 +23,27 @@ def page_title(raw: Column, terms=()) -> Column:
     return prepare_text(F.substring_index(raw, "|", 1), terms, strip_symbols=True)
 
 
-def element_content(html: Column, tag: str) -> Column:
+def element_content(html: Column, tag: str | Column) -> Column:
     """Inside of the first element of a tag, nested ones of the same tag included; null when there is none.
 
     The text behind the opening tag is cut before every tag of that name; the pieces up to the one
     that closes the first belong to it. An element that never closes ends with the page.
     """
-    opening, start, end = rf"(?i)<{tag}(?:\s[^>]*)?>", rf"(?i)\A<{tag}[\s>]", rf"(?i)\A</{tag}\s*>"
+    def pattern(*around: str) -> Column:
+        """The texts laced with the tag's name."""
+        if isinstance(tag, str):
+            return F.lit(tag.join(around))
+        return F.concat(F.lit(around[0]), *[piece for text in around[1:] for piece in (tag, F.lit(text))])
+
+    opening, start, end = pattern("(?i)<", r"(?:\s[^>]*)?>"), pattern(r"(?i)\A<", r"[\s>]"), pattern(r"(?i)\A</", r"\s*>")
     def step(seen: Column, piece: Column) -> Column:
-        depth = seen["depth"] + F.when(piece.rlike(end), -1).when(piece.rlike(start), 1).otherwise(0)
+        depth = seen["depth"] + F.when(F.rlike(piece, end), -1).when(F.rlike(piece, start), 1).otherwise(0)
         inside = (seen["depth"] > 0) & (depth > 0)
         return F.struct(F.when(seen["depth"] > 0, depth).otherwise(0).alias("depth"),
                         (seen["size"] + F.when(inside, F.length(piece)).otherwise(0)).alias("size"))
 
     nothing = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size"))
-    cuts = rf"(?i)(?=<{tag}[\s>]|</{tag}\s*>)"
+    cuts = pattern("(?i)(?=<", r"[\s>]|</", r"\s*>)")
     return let(F.get(F.split(html, opening, 2), F.lit(1)), lambda behind: F.left(
         behind, F.aggregate(F.split(behind, cuts, -1), nothing, step, lambda seen: seen["size"])))
 

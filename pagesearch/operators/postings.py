@@ -99,15 +99,20 @@ def term_postings(docs: DataFrame, config: SiteConfig) -> DataFrame:
     terms = _terms_of(F.col("word"), F.col("token"), F.col("root"), stemmed, config)
     occurrences = split.select(*KEY, "field", position, F.explode(terms).alias("term")) \
         .filter(F.col("term").isNotNull())
-    per_field_term = occurrences.groupBy("term", "field", *KEY).agg(
+    return collected(keyed, occurrences.withColumn("weight", field_weight(config)))
+
+
+def collected(keyed: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """See ``term_postings``, from rows ``(key, field, weight, position, term)`` and the keyed documents."""
+    per_field_term = occurrences.groupBy("term", "field", "weight", *KEY).agg(
         F.array_sort(F.collect_list("position")).alias("positions"))
     weighed = per_field_term.withColumn("tf", F.size("positions").cast("long")) \
-        .withColumn("wtf", field_weight(config) * F.col("tf"))
+        .withColumn("wtf", F.col("weight") * F.col("tf"))
     per_term = weighed.groupBy("term", *KEY).agg(
         F.sum("wtf").alias("wtf"), F.collect_list(F.struct("field", "tf", "wtf", "positions")).alias("fields"))
     tokens_only = F.when(plain(F.col("term")), F.col("wtf"))
     normed = per_term.withColumn("max_wtf", F.max(tokens_only).over(W.partitionBy(*KEY)))
-    score = F.col("score") if "score" in docs.columns else F.lit(1.0)
+    score = F.col("score") if "score" in keyed.columns else F.lit(1.0)
     owners = keyed.select(*KEY, "site", "doc_id", score.alias("doc_score"))
     return normed.join(owners.hint("shuffle_merge"), KEY).drop(*KEY)
 

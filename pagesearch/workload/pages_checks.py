@@ -241,9 +241,4 @@ CHECKS = {
         f"WITH {_DOCS}, both_sites AS (SELECT page_id, url, regexp_replace(url, '/[^/]*\\z', '') AS site FROM docs "
         f"UNION ALL SELECT page_id, url, url || '/' FROM docs) SELECT page_id, site, url FROM both_sites "
         f"WHERE {Q.trim_slashes('url')} <> {Q.trim_slashes('site')}"),
-    "index_all_sites": Check(
-        lambda s, d: V.keep_valid_pages(X.page_documents(
-            assign_sites(pages(s, d), sited(s, d).select("site").distinct()), PAGES), PAGES.validators)
-        .groupBy("site").agg(F.count("*").alias("n_docs")),
-        f"WITH {_DOCS} SELECT site, count(*) AS n_docs FROM docs WHERE {_FAILED} IS NULL GROUP BY site"),
 }
