@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 from functools import reduce
+from html import _invalid_charrefs
 from html.entities import html5
 from operator import or_
 
@@ -113,22 +114,39 @@ def stem(token: Column) -> Column:
     )
 
 
-# every named reference of HTML that ends in a semicolon, as the standard library lists them
-NAMED = json.dumps({name[:-1]: char for name, char in html5.items() if name.endswith(";")})
-REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# the named references of HTML with and without a semicolon, and what stands for numbers that are no characters, as the
+# standard library has them; the tree of a page decodes by the same tables
+NAMED = json.dumps(html5)
+LONGEST_BARE = max(len(name) for name in html5 if not name.endswith(";"))
+REPLACED = json.dumps({f"{number:08X}": char for number, char in _invalid_charrefs.items()})
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[^\t\n\f <&#;]{1,32};?)"
 MARKUP = r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->|<!doctype[^>]*>|<[^>]+>"
 
 
+def _numbered(reference: Column) -> Column:
+    """The character of a numeric reference of any length."""
+    digits = F.regexp_extract(reference, r"\A&#[xX]?0*([0-9A-Fa-f]*)", 1)
+    number = F.when(reference.rlike(r"\A&#[xX]"), F.when(F.length(digits) <= 6, F.upper(digits))) \
+        .when(digits == "", "0").when(F.length(digits) <= 7, F.conv(digits, 10, 16))
+    code = F.lpad(number, 8, "0")
+    nothing = (code.between("00000001", "00000008") | (code == "0000000B") | code.between("0000000E", "0000001F")
+               | code.between("0000007F", "0000009F") | code.between("0000FDD0", "0000FDEF") | F.right(code, F.lit(4)).isin("FFFE", "FFFF"))
+    outside = code.isNull() | (code > "0010FFFF") | code.between("0000D800", "0000DFFF")
+    return F.coalesce(F.try_element_at(F.from_json(F.lit(REPLACED), "map<string,string>"), code),
+                      F.when(outside, "\ufffd").when(nothing, "").otherwise(F.decode(F.unhex(code), "UTF-32")))
+
+
+def _named(reference: Column) -> Column:
+    """The characters of a named reference, or of the longest name that it starts with; what stands for none stays."""
+    names = F.from_json(F.lit(NAMED), "map<string,string>")
+    name = F.substr(reference, F.lit(2))
+    starts = [F.when(F.length(name) > n, F.concat(F.try_element_at(names, F.left(name, F.lit(n))), F.substr(name, F.lit(n + 1))))
+              for n in range(LONGEST_BARE, 1, -1)]
+    return F.coalesce(F.try_element_at(names, name), *starts, reference)
+
+
 def _referred(reference: Column) -> Column:
-    """The character of one reference; what stands for none stays as it is."""
-    inside = F.substring(reference, F.lit(2), F.length(reference) - 2)
-    number = F.when(inside.rlike("^#[0-9]"), F.conv(F.substring(inside, F.lit(2), F.lit(7)), 10, 16)) \
-        .when(inside.rlike("^#[xX]"), F.upper(F.substring(inside, F.lit(3), F.lit(6))))
-    valid = F.lpad(number, 8, "0")
-    known = (valid > "00000000") & (valid <= "0010FFFF") & ~valid.between("0000D800", "0000DFFF")
-    named = F.try_element_at(F.from_json(F.lit(NAMED), "map<string,string>"), inside)
-    return F.coalesce(F.when(known, F.decode(F.unhex(valid), "UTF-32")),
-                      F.when(~F.startswith(inside, F.lit("#")), named), reference)
+    return F.when(F.startswith(reference, F.lit("&#")), _numbered(reference)).otherwise(_named(reference))
 
 
 def decode_entities(text: Column) -> Column:

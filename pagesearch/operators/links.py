@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagesearch.functions.text import decode_entities
+from pagesearch.functions.text import decode_entities, let
 from pagesearch.functions.urls import resolve_link, site_of
 from pagesearch.operators.skew import salted_join
 from pagesearch.session import cut_lineage
@@ -37,8 +37,10 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Rows ``(page_id, page_url, link_url)``: the absolute links of all pages, as a browser resolves them."""
-    base = _bare(F.regexp_extract(F.coalesce("html", F.lit("")), BASE, 1)).alias("base_href")
-    based = pages.select("page_id", F.col("url").alias("page_url"), base, F.explode(hrefs(F.col("html"))).alias("href"))
+    base = _bare(F.regexp_extract(F.coalesce("html", F.lit("")), BASE, 1))
+    # base and links are found once per page; behind the explode there is no more of the page than them
+    found = let(base, lambda b: F.transform(hrefs(F.col("html")), lambda h: F.struct(b.alias("base_href"), h.alias("href"))))
+    based = pages.select("page_id", F.col("url").alias("page_url"), F.inline(found))
     return _resolved(based, F.col("base_href"))
 
 
@@ -49,8 +51,8 @@ def resolve_links(links: DataFrame) -> DataFrame:
 
 def _resolved(links: DataFrame, base: Column | None) -> DataFrame:
     target = resolve_link(F.col("page_url"), F.trim(F.col("href")), base)
-    resolved = links.withColumn("link_url", target).filter(F.col("link_url").isNotNull())
-    return resolved.select("page_id", "page_url", "link_url").distinct()
+    # the explode of one or no URL keeps the test for null from computing the URL again
+    return links.select("page_id", "page_url", F.explode(F.split(target, "\x00")).alias("link_url")).distinct()
 
 
 def same_site(links: DataFrame) -> DataFrame:

@@ -118,6 +118,24 @@ SELECT *, '{BUILT.url}/' || page_id || ':section:' || md5(body || section_title
 """
 
 
+def built_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of pages that are written with a base, dots and references for every document."""
+    number = F.col("doc_id").cast("string")
+    links = [("../x", number, ""), ("./y?a=1&amp;b=", number, "#&lt;"), ("//h.example.org/z", number, ""), ("/r/../s/./", number, ""),
+             ("#top", number, ""), ("mailto:a&#64;b", number, ""), ("?q=&eacute", number, ""), ("t&#x2F;..&#47;u", number, "")]
+    html = F.concat(F.lit("<head><base href='/b&#x2f;"), F.col("source"), F.lit("/i.htm'></head>"),
+                    *[F.concat(F.lit(f'<p><a class="l" href="{before}'), n, F.lit(f'{behind}">x</a>')) for before, n, behind in links])
+    written = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("page_id"), F.concat(F.lit(BUILT.url + "/p/"), number).alias("url"), html.alias("html"))
+    return L.page_links(written)
+
+
+_BUILT_LINKS = f"""SELECT doc_id AS page_id, '{BUILT.url}/p/' || doc_id AS page_url, unnest([
+  '{BUILT.url}/b/x' || doc_id, '{BUILT.url}/b/' || source || '/y?a=1&b=' || doc_id || '#<', 'https://h.example.org/z' || doc_id,
+  '{BUILT.url}/s/' || doc_id, '{BUILT.url}/b/' || source || '/i.htm?q=é' || doc_id, '{BUILT.url}/b/' || source || '/u' || doc_id]) AS link_url
+FROM documents"""
+
+
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """Commands named by part type (with and without a summary) and by part name."""
     part = table(spark, folder, "part")
@@ -209,6 +227,7 @@ CHECKS = {
     "links_extract": Check(
         lambda s, d: L.extract_links(pages(s, d)), f"WITH {_LINKS} SELECT page_id, page_url, href FROM links"),
     "links_resolve": Check(resolved, f"WITH {_LINKS} SELECT page_id, page_url, link_url FROM resolved"),
+    "links_resolve_built": Check(built_links, _BUILT_LINKS),
     "links_allow_deny": Check(
         allowed, f"WITH {_LINKS} SELECT page_id, page_url, link_url FROM resolved WHERE regexp_matches(link_url, {Q.lit(_ALLOW)}) "
                  f"AND NOT regexp_matches(link_url, {Q.lit(_DENY)})"),

@@ -139,7 +139,7 @@ def test_literal_terms_are_patterns(one):
 
 def test_character_references_are_decoded_once(one):
     given = "&amp;lt; &#233;&#x1F600; &eacute; &hellip; &bogus; &#0; &#xD800; &amp"
-    assert one(text.decode_entities(F.col("x")), x=given) == "&lt; é😀 é … &bogus; &#0; &#xD800; &amp"
+    assert one(text.decode_entities(F.col("x")), x=given) == "&lt; é😀 é … &bogus; \ufffd \ufffd &"
 
 
 def test_content_of_nested_elements(one):
