@@ -50,15 +50,16 @@ def fold_dots(url: Column) -> Column:
     return let(url, rebuilt)
 
 
-def resolve_link(page_url: Column, href: Column, base_href: Column | None = None) -> Column:
-    """Absolute form of a link found on a page; null for links that are not pages.
+def link_base(page_url: Column, base_href: Column) -> Column:
+    """The URL that a page's links are relative to; ``base_href`` is its ``<base href>``, null or empty when it has none."""
+    return F.coalesce(F.when(base_href != "", _absolute(page_url, base_href)), page_url)
+
 
-    ``base_href`` is the page's ``<base href>``, null or empty when it has none.
-    """
+def resolve_link(page_url: Column, href: Column, base_href: Column | None = None) -> Column:
+    """Absolute form of a link found on a page; null for links that are not pages. See ``link_base``."""
     if base_href is None:
         return fold_dots(_absolute(page_url, href))
-    from_base = F.coalesce(F.when(base_href != "", _absolute(page_url, base_href)), page_url)
-    return let(from_base, lambda base: let(href, lambda link: fold_dots(_absolute(base, link))))
+    return let(link_base(page_url, base_href), lambda base: let(href, lambda link: fold_dots(_absolute(base, link))))
 
 
 def _absolute(page_url: Column, href: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagesearch.functions.text import decode_entities, let
-from pagesearch.functions.urls import resolve_link, site_of
+from pagesearch.functions.urls import link_base, resolve_link, site_of
 from pagesearch.operators.skew import salted_join
 from pagesearch.session import cut_lineage
 
@@ -39,18 +39,19 @@ def page_links(pages: DataFrame) -> DataFrame:
     """Rows ``(page_id, page_url, link_url)``: the absolute links of all pages, as a browser resolves them."""
     base = _bare(F.regexp_extract(F.coalesce("html", F.lit("")), BASE, 1))
     # base and links are found once per page; behind the explode there is no more of the page than them
-    found = let(base, lambda b: F.transform(hrefs(F.col("html")), lambda h: F.struct(b.alias("base_href"), h.alias("href"))))
+    found = let(base, lambda own: let(link_base(F.col("url"), own), lambda b: F.transform(
+        hrefs(F.col("html")), lambda h: F.struct(b.alias("base_url"), h.alias("href")))))
     based = pages.select("page_id", F.col("url").alias("page_url"), F.inline(found))
-    return _resolved(based, F.col("base_href"))
+    return _resolved(based, F.col("base_url"))
 
 
 def resolve_links(links: DataFrame) -> DataFrame:
     """``page_links`` of rows ``(page_id, page_url, href)`` from pages without a base."""
-    return _resolved(links, None)
+    return _resolved(links, F.col("page_url"))
 
 
-def _resolved(links: DataFrame, base: Column | None) -> DataFrame:
-    target = resolve_link(F.col("page_url"), F.trim(F.col("href")), base)
+def _resolved(links: DataFrame, base: Column) -> DataFrame:
+    target = resolve_link(base, F.trim(F.col("href")))
     # the explode of one or no URL keeps the test for null from computing the URL again
     return links.select("page_id", "page_url", F.explode(F.split(target, "\x00")).alias("link_url")).distinct()
 
