@@ -35,7 +35,8 @@ POINT = 32  # a set's count vector takes the memory of so many shingles
 CHUNK_CHARS = 16_000_000    # texts that are shingled together
 COMMON_IN_CHUNK = 8         # sets of a chunk with a shingle that make it a candidate for the common ones
 MOST_COMMON = 100_000       # common shingles that every task holds (0.8 MB)
-RANGE_SHINGLES = 6_000_000  # shingles of one range of hashes, which a task counts at a time
+RANGE_SHINGLES = 4_000_000  # most shingles of one range of hashes, which a task counts at a time
+LEAST_RANGE = 50_000        # least, where more ranges would give every shuffle partition one
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -199,7 +200,9 @@ def _shared_shingles(group: pd.DataFrame) -> pd.DataFrame:
 def routing_keys(docs: DataFrame, common: np.ndarray, shingles: int, percent: int = PERCENT, width: int = SHINGLE,
                  range_shingles: int = RANGE_SHINGLES) -> DataFrame:
     """``a, key``: the keys of each set that has any; linked sets share one. ``shingles`` is about how many there are."""
-    packed = _packed(docs, common, percent, width, max(1, -(-shingles // range_shingles)))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, -(-shingles // range_shingles), min(partitions, shingles // LEAST_RANGE))
+    packed = _packed(docs, common, percent, width, ranges)
     found = (packed.groupBy("part").applyInPandas(_shared_shingles, "a long, spare int, times long, key long")
              .groupBy("a").agg(F.first("spare").alias("spare"), F.sort_array(F.collect_list(F.struct("times", "key"))).alias("all")))
     often, rare = F.filter("all", lambda x: x["times"] == 0), F.filter("all", lambda x: x["times"] > 0)
