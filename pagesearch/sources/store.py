@@ -16,7 +16,7 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def _children(spark: SparkSession, path: str) -> list[str]:
+def children(spark: SparkSession, path: str) -> list[str]:
     fs, target = _fs(spark, path)
     if not fs.exists(target):
         return []
@@ -70,10 +70,10 @@ class IndexStore:
         return f"{self.home}/{version}/{table}"
 
     def versions(self) -> list[str]:
-        return [name for name in _children(self.spark, self.home) if name.startswith("v")]
+        return [name for name in children(self.spark, self.home) if name.startswith("v")]
 
     def current(self) -> str | None:
-        if POINTER not in _children(self.spark, self.home):
+        if POINTER not in children(self.spark, self.home):
             return None
         fs, target = _fs(self.spark, f"{self.home}/{POINTER}")
         stream = fs.open(target)
@@ -98,7 +98,7 @@ class IndexStore:
 
     def is_empty(self, version: str) -> bool:
         """True when no bucket was written under the documents of a version."""
-        names = _children(self.spark, self.table_path(version, "documents"))
+        names = children(self.spark, self.table_path(version, "documents"))
         return not any(name.startswith("doc_bucket=") for name in names)
 
     def publish_unless_empty(self, version: str) -> bool:

@@ -131,7 +131,7 @@ def test_merging_keeps_everything_and_few_segments(spark, tmp_path, monkeypatch)
         assert len(segments.manifest(store)) == first + 1
         assert state(spark, open_segments(store, CONFIG)) == before
     named = [s.name for s in segments.manifest(store)]
-    assert segments._children(spark, f"{store.home}/segments") == named
+    assert segments.children(spark, f"{store.home}/segments") == named
 
 
 def test_merge_policy_keeps_sizes_apart():
@@ -161,6 +161,23 @@ def test_stream_fills_the_index(spark, tmp_path):
     assert state(spark, open_segments(store, CONFIG)) == state(spark, rebuilt(spark, after(pages, STEPS), tmp_path))
 
 
+def test_stream_keeps_each_key_once_without_state(spark, tmp_path):
+    source, staging, point = (str(tmp_path / name) for name in ("rows", "out", "cp"))
+    schema = "k string, l int, v string"
+    batches = [[("a", 1, "x"), ("a", 1, "w"), ("b", None, "y")], [("a", 1, "later"), ("a", 2, "z"), (None, None, "n")], [("b", None, "again"), (None, None, "m")], [("c", 3, "new")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    I.distinct_stream(stream(), ["k", "l"], staging, point, buckets=4)
+    want = [("a", 1, "w"), ("a", 2, "z"), ("b", None, "y"), ("c", 3, "new"), (None, None, "n")]
+    read = lambda: sorted((tuple(r) for r in spark.read.schema(schema).parquet(staging).select("k", "l", "v").collect()), key=repr)
+    assert read() == sorted(want, key=repr)
+    assert not (tmp_path / "cp" / "state").exists()
+    # batches that run again, as after a lost checkpoint, leave the same rows
+    I.distinct_stream(stream(), ["k", "l"], staging, str(tmp_path / "cp2"), buckets=4)
+    assert read() == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("name", ["absent"])
 def test_nothing_published(spark, tmp_path, name):
     with pytest.raises(LookupError):
