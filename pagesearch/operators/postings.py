@@ -24,6 +24,12 @@ def single_word_groups(config: SiteConfig) -> list[tuple[str, list[str]]]:
     return [(g, words) for g, words in groups if words]
 
 
+def word_runs(config: SiteConfig) -> list[tuple[str, list[str]]]:
+    """``(group, words)`` of the members of several words, in lower case."""
+    return [(group, words) for group, members in config.active_groups.items()
+            for words in (m.lower().split() for m in members) if len(words) > 1]
+
+
 def _run_mark(group: str) -> str:
     """What a token gets appended where a synonym of several words starts; tokens hold no line ends."""
     return f"\n{group}\n"
@@ -31,8 +37,7 @@ def _run_mark(group: str) -> str:
 
 def _mark_synonym_runs(tokens_: Column, config: SiteConfig) -> Column:
     """Append the mark of its group to each token at which a synonym of several words starts."""
-    runs = [(group, words) for group, members in config.active_groups.items()
-            for words in (m.lower().split() for m in members) if len(words) > 1]
+    runs = word_runs(config)
     if not runs:
         return tokens_
     firsts = F.array(*[F.lit(words[0]) for _, words in runs])

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pagesearch.config import STOP_WORDS
+from pagesearch.config import STOP_WORDS, SiteConfig
 from pagesearch.functions import requests as R
-from pagesearch.functions.text import TOKEN, stem, tokens, unescape
+from pagesearch.functions.text import SYNONYM_MARK, TOKEN, stem, tokens, unescape
 from pagesearch.functions.urls import join_url, url_section
 from pagesearch.operators import match as M, rank as K
-from pagesearch.operators.postings import single_word_groups
+from pagesearch.operators.postings import single_word_groups, word_runs
 from pagesearch.operators.render import highlight, project_result, summarize
 from pagesearch.operators.skew import lookup_join
 from pagesearch.plans.index_site import SearchIndex, documents_of
@@ -74,11 +74,62 @@ def query_words(text: Column) -> Column:
                     lambda w: (w["kind"] == "prefix") | ~w["text"].isin(*STOP_WORDS))
 
 
-def text_slots(queries: DataFrame) -> DataFrame:
-    """One must slot per word of the distinct queries ``(qkey, site, query_text)``."""
-    words = queries.select("qkey", "site", F.posexplode(query_words(F.col("query_text"))).alias("slot", "w"))
-    return words.select("qkey", "site", "slot", F.lit("must").alias("occur"), F.col("w.kind").alias("kind"),
-                        F.col("w.text").alias("text"), F.lit("").alias("field"))
+def synonym_phrases(spark: SparkSession, config: SiteConfig) -> DataFrame:
+    """Rows ``(n, phrase, mark)`` of the synonyms of several words: how many, the words, and the index term of their group."""
+    rows = [(len(words), " ".join(words), SYNONYM_MARK + group) for group, words in word_runs(config)]
+    return spark.createDataFrame(rows, "n int, phrase string, mark string")
+
+
+def query_pieces(queries: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Rows ``(qkey, site, slot, kind, text)``: the words of each query in order, a synonym of several words as one slot.
+
+    The runs of words of each length in the synonym table are joined with it. From left to right the longest
+    run at a place is taken, and the search goes on behind it; starred words are in no run. A run that is in several
+    groups gives its slot one row for each.
+    """
+    worded = queries.select("qkey", "site", query_words(F.col("query_text")).alias("words"))
+    lengths = [row.n for row in phrases.select("n").distinct().collect()]   # a row per length of a synonym
+
+    def runs(n: int) -> Column:
+        def run(i: Column) -> Column:
+            part = F.slice("words", i + 1, F.lit(n))
+            phrase = F.when(F.forall(part, lambda w: w["kind"] == "exact"), F.array_join(F.transform(part, lambda w: w["text"]), " "))
+            return F.struct(i.alias("at"), F.lit(n).alias("n"), phrase.alias("phrase"))
+
+        places = F.sequence(F.lit(0), F.size("words") - n)
+        return F.transform(F.when(F.size("words") >= n, places).otherwise(F.array().cast("array<int>")), run)
+
+    grams = worded.select("qkey", F.inline(F.flatten(F.array(*[runs(n) for n in lengths])))).filter(F.col("phrase").isNotNull())
+    known = lookup_join(grams, phrases, ["n", "phrase"], ["qkey"])
+    longest = known.groupBy("qkey", "at", "n").agg(F.sort_array(F.collect_set("mark")).alias("marks")) \
+        .groupBy("qkey", "at").agg(F.max(F.struct("n", "marks")).alias("run")) \
+        .groupBy("qkey").agg(F.map_from_entries(F.collect_list(F.struct("at", "run"))).alias("runs"))
+    placed = worded.join(longest, "qkey", "left")
+    piece = "array<struct<kind:string,text:string>>"
+
+    def step(done: Column, i: Column) -> Column:
+        run = F.try_element_at("runs", i)
+        word = F.get("words", i)
+        slot = F.when(run.isNotNull(), F.transform(run["marks"], lambda mark: F.struct(F.lit("token").alias("kind"), mark.alias("text")))) \
+            .otherwise(F.array(F.struct(word["kind"].alias("kind"), word["text"].alias("text"))))
+        taken = F.struct((i + F.coalesce(run["n"], F.lit(1))).alias("next"), F.concat(done["slots"], F.array(slot)).alias("slots"))
+        return F.when(i < done["next"], done).otherwise(taken)
+
+    start = F.struct(F.lit(0).alias("next"), F.array().cast(f"array<{piece}>").alias("slots"))
+    at = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
+    slots = F.aggregate(at, start, step, lambda done: done["slots"])
+    return placed.select("qkey", "site", F.posexplode(slots).alias("slot", "pieces")) \
+        .select("qkey", "site", "slot", F.inline("pieces"))
+
+
+def text_slots(queries: DataFrame, config: SiteConfig) -> DataFrame:
+    """One must slot per word, or synonym of several words, of the distinct queries ``(qkey, site, query_text)``."""
+    if word_runs(config):
+        words = query_pieces(queries, synonym_phrases(queries.sparkSession, config))
+    else:
+        words = queries.select("qkey", "site", F.posexplode(query_words(F.col("query_text"))).alias("slot", "w")) \
+            .select("qkey", "site", "slot", "w.kind", "w.text")
+    return words.select("qkey", "site", "slot", F.lit("must").alias("occur"), "kind", "text", F.lit("").alias("field"))
 
 
 def is_match_all(text: Column) -> Column:
@@ -101,7 +152,7 @@ def sections_of(queries: DataFrame) -> DataFrame:
 
 def score_queries(queries: DataFrame, index: SearchIndex) -> DataFrame:
     """All hits of the distinct queries ``(qkey, site, query_text, section)`` with words, with their final score."""
-    slots = materialize(text_slots(queries), "slots")
+    slots = materialize(text_slots(queries, index.config), "slots")
     hits = materialize(M.match(slots, index), "matches")
     in_section = sections_of(queries)
     if in_section.isEmpty():

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pagesearch.functions import requests as R
 from pagesearch.functions.urls import join_url, url_section
 from pagesearch.operators.skew import lookup_join
-from pagesearch.plans.search import resolve_sites
+from pagesearch.operators.postings import word_runs
+from pagesearch.plans.search import query_pieces, resolve_sites, synonym_phrases
 from pagesearch.sources.catalogue import configured_landing_pages
 from pagesearch.sources.pages import site_registry
 from pagesearch.workload import Check, sqltext as Q, table
@@ -88,6 +89,26 @@ def landed(spark: SparkSession, folder: str) -> DataFrame:
 
 _WITH = f"WITH {PREPARED_SQL} "
 
+
+def phrased(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text as one long request, cut into words and synonyms of several words."""
+    asked = table(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("qkey"), F.lit(ROOT).alias("site"), F.lower("text").alias("query_text"))
+    pieces = query_pieces(asked, synonym_phrases(spark, CORPUS))
+    return pieces.select(F.col("qkey").alias("doc_id"), "slot", "kind", "text")
+
+
+# each word between bars; a synonym of several words is replaced from left to right
+_PIECES = f"regexp_extract_all(lower(text), {Q.lit('(' + Q.TOKEN[1:-1] + chr(92) + '*?)')}, 1)"
+_BARRED = f"array_to_string(list_transform(list_filter(list_transform({_PIECES}, lambda p: {Q.unescape('p')}), lambda p: p NOT IN ({Q.words(Q.STOP_WORDS)})), lambda p: '|' || p || '|'), '')"
+for _group, _words in word_runs(CORPUS):
+    _BARRED = f"replace({_BARRED}, {Q.lit(''.join('|' + w + '|' for w in _words))}, {Q.lit('|~ ' + _group + '|')})"
+_PHRASED = f"""WITH barred AS (SELECT doc_id, {_BARRED} AS b FROM documents),
+pieces AS (SELECT doc_id, string_split(b[2:-2], '||') AS ps FROM barred WHERE b <> ''),
+numbered AS (SELECT doc_id, generate_subscripts(ps, 1) - 1 AS slot, unnest(ps) AS piece FROM pieces)
+SELECT doc_id::VARCHAR AS doc_id, slot::INTEGER AS slot, CASE WHEN starts_with(piece, '~ ') THEN 'token' WHEN ends_with(piece, '*') THEN 'prefix' ELSE 'exact' END AS kind,
+       CASE WHEN ends_with(piece, '*') THEN left(piece, length(piece) - 1) ELSE piece END AS text FROM numbered"""
+
 CHECKS = {
     "query_site_resolve": Check(
         lambda s, d: resolved(s, d).select("query_id", "site", "status"), _WITH + "SELECT query_id, site, status FROM prepared"),
@@ -110,6 +131,7 @@ CHECKS = {
             url_section(F.col("site"), F.coalesce("from_url", F.lit("")))).alias("q")),
         _WITH + "SELECT query_id, CASE WHEN query_text <> '' AND section <> '' THEN '((@s:' || section || ') => {$weight: 10} ' "
                 "|| query_text || ') | ' || query_text ELSE query_text END AS q FROM prepared"),
+    "query_synonym_phrases": Check(phrased, _PHRASED),
     "query_defaults": Check(
         lambda s, d: derived_requests(s, d).select(
             "query_id", F.coalesce("from_url", F.lit("")).alias("from_url"), R.start_or_default(F.col("start")).alias("start"),

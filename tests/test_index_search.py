@@ -11,7 +11,7 @@ from pagesearch.functions.scores import boost_pages
 from pagesearch.operators import match as M, rank as K, skew
 from pagesearch.operators.refresh import refresh_diff, upsert_latest
 from pagesearch.plans.index_site import index_documents, open_index, parse_documents, reindex
-from pagesearch.plans import index_site
+from pagesearch.plans import index_site, search as P
 from pagesearch.plans.search import search
 from pagesearch.session import fresh_path, materialize
 from pagesearch.sources.catalogue import configured_landing_pages
@@ -116,6 +116,26 @@ def test_words_stems_synonyms_prefixes(spark, index):
     assert "<b>v6</b>.2.8" in body
 
 
+def test_synonyms_of_several_words_in_requests(spark, index):
+    result = run(spark, index, "container ship", "apple container ship", "ship container", "apple ship*", "kube")
+    # a request for the phrase finds what the one word finds; the words apart stay words
+    assert set(urls(result, 0)) == set(urls(result, 4)) == {"0", "1"}
+    assert set(urls(result, 1)) == {"0", "1"} and urls(result, 2) == ["1"] and urls(result, 3) == ["1"]
+
+
+def test_longest_synonym_wins_from_left_to_right(spark):
+    config = SiteConfig(SITE, synonym_groups={"a": ("x y", "one"), "b": ("x y z", "two w"), "c": ("y z",), "d": ("x y",)})
+    asked = spark.createDataFrame([("1", SITE, "x y z x y w"), ("2", SITE, "w x y*"), ("3", SITE, "y z y z x"), ("4", SITE, ""), ("5", SITE, "x")],
+                                  "qkey string, site string, query_text string")
+    found = {}
+    for r in P.query_pieces(asked, P.synonym_phrases(spark, config)).collect():
+        found.setdefault(r.qkey, []).append((r.slot, r.kind, r.text))
+    assert {k: sorted(v) for k, v in found.items()} == {
+        "1": [(0, "token", "~ b"), (1, "token", "~ a"), (1, "token", "~ d"), (2, "exact", "w")],
+        "2": [(0, "exact", "w"), (1, "exact", "x"), (2, "prefix", "y")],
+        "3": [(0, "token", "~ c"), (1, "token", "~ c"), (2, "exact", "x")], "5": [(0, "exact", "x")]}
+
+
 def test_score_formula(spark, index):
     hits = M.match(spark.createDataFrame([("q", SITE, 0, "must", "token", "pear", "")],
                                          "qkey string, site string, slot int, occur string, kind string, text string, field string"), index)
