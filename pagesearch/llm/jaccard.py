@@ -4,9 +4,13 @@
    bounded list of common ones. Two sets of Jaccard t or more share a shingle among the first
    n - ceil(t n) + 1 of both. What only one set has cannot be it, so a set emits only the shared ones of these
    as keys, in most texts none. Which shingles are shared is counted over all sets, packed by ranges of hashes.
+   From GROUPED_FROM percent on, equal groups route with less work: linked sets differ in at most d shingles, d known from
+   their size class, so with d + 2 hash groups they have the same shingles in some group. The hash of (size class,
+   group, its shingles) is the key, and sets joined through keys form a cluster. Groups are large there (9 shingles and more
+   at 90 %), so sets that are not alike rarely share a key; at 80 % one common shingle is a whole group.
 2. *Search.* The sets under one key are points of an R-tree by their group counts (count_tree). The sum of the
    coordinate minima bounds the overlap; survivors are verified on the sets themselves. Only verified
-   links join sets. First every set is searched under its most shared key; other keys follow where their sets are not yet
+   links join sets to components. With keys of a prefix, first every set is searched under its most shared key; other keys follow where their sets are not yet
    in one component.
 
 A key with too many sets for one task is cut into blocks. One pivot block meets every block; then only what is
@@ -32,11 +36,12 @@ SHINGLE = 3
 PERCENT = 90
 BLOCK_SHINGLES = 2_000_000  # most shingles of a key's sets that one task holds at a time (16 MB of hashes)
 POINT = 32  # a set's count vector takes the memory of so many shingles
+BAND_RATIO = 1.25
+GROUPED_FROM = 90           # percent from which sets are routed by equal groups
 CHUNK_CHARS = 16_000_000    # texts that are shingled together
 COMMON_IN_CHUNK = 8         # sets of a chunk with a shingle that make it a candidate for the common ones
 MOST_COMMON = 100_000       # common shingles that every task holds (0.8 MB)
-RANGE_SHINGLES = 4_000_000  # most shingles of one range of hashes, which a task counts at a time
-LEAST_RANGE = 50_000        # least, where more ranges would give every shuffle partition one
+RANGE_SHINGLES = 6_000_000  # shingles of one range of hashes, which a task counts at a time
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -74,6 +79,43 @@ def shingle_set(text: str | None, hashes: Words, width: int = SHINGLE) -> np.nda
     return np.unique(mixed)
 
 
+def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower ends of the size classes, and for each the most shingles by which two linked sets can differ.
+
+    A class is as wide as BAND_RATIO, wider than the ratio of linked sizes, so a pair lies in one class
+    or in two neighbours. The larger set's class counts.
+    """
+    lows = [1]
+    while lows[-1] <= largest:
+        # at least one apart, and never narrower than the ratio that two linked sets may have
+        lows.append(max(lows[-1] + 1, int(lows[-1] * max(BAND_RATIO, 100 / percent)) + 1))
+    low = np.array(lows, dtype=np.int64)
+    return low[:-1], 2 * (low[1:] - 1) * (100 - percent) // (100 + percent)
+
+
+def group_keys(shingles: np.ndarray, percent: int, low: np.ndarray, apart: np.ndarray) -> list[np.ndarray]:
+    """Keys of one set by equal groups, in its own size class and, where a larger set of the next class may link, there."""
+    n = len(shingles)
+    own = int(np.searchsorted(low, n, side="right")) - 1
+    keys = []
+    with np.errstate(over="ignore"):
+        values = _mix(shingles + _M1)
+        for band in (own, own + 1):
+            if band >= len(low) or 100 * n < percent * low[band] or apart[band] == 0:
+                continue  # no set of that class links with another set
+            groups = int(apart[band]) + 2
+            # multiply-shift keeps the order of the sorted hashes, so each group is one run
+            group = ((shingles >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            salt = np.uint64(band * 2 + 1) * _M3
+            present = group[starts]
+            keys.append(_mix(np.add.reduceat(values, starts) ^ _mix(present * _M1 + salt)))
+            if len(starts) <= apart[band]:  # so lopsided that the equal groups may all be empty
+                empty = np.setdiff1d(np.arange(groups, dtype=np.uint64), present)
+                keys.append(_mix(_mix(empty * _M2 + salt) ^ _M1))
+    return keys
+
+
 def prefix_size(n: int, percent: int) -> int:
     """How many first shingles of a set of n, in any order that all sets have, meet those of every set it links with."""
     return n - -(-percent * n // 100) + 1
@@ -118,6 +160,30 @@ def shingle_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return described.select(F.col("id").cast("long").alias("doc_id"), "text_hash", "a", "b", "n_shingles", "common", "times")
 
 
+def grouped_sets(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
+    """``doc_id, text_hash, a, b, n_shingles, keys`` per row: 128-bit id of the set, its size and its routing keys."""
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = Words()
+        low, apart = bands(percent, 1 << 16)
+        for batch in batches:
+            for part in range(0, len(batch), 500):
+                rows = []
+                piece = batch.iloc[part:part + 500]
+                for doc_id, text_hash, text in zip(piece["id"], piece["text_hash"], piece["text"], strict=True):
+                    shingles = shingle_set(text, hashes, width)
+                    while len(shingles) * 2 >= low[-1]:
+                        low, apart = bands(percent, int(low[-1]) * 4)
+                    keys = group_keys(shingles, percent, low, apart) if len(shingles) else []
+                    a, b = _set_id(shingles)
+                    rows.append((doc_id, text_hash, a, b, len(shingles),
+                                 np.concatenate(keys).view(np.int64) if keys else np.empty(0, dtype=np.int64)))
+                yield pd.DataFrame(rows, columns=["id", "text_hash", "a", "b", "n_shingles", "keys"])
+
+    named = texts(docs).select(F.col("doc_id").cast("string").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    described = named.mapInPandas(describe, "id string, text_hash long, a long, b long, n_shingles long, keys array<long>")
+    return described.select(F.col("id").cast("long").alias("doc_id"), "text_hash", "a", "b", "n_shingles", "keys")
+
+
 def common_shingles(sets: DataFrame, most: int = MOST_COMMON) -> np.ndarray:
     """Sorted hashes of the ``most`` shingles that come up in most sets, as far as chunks show; they are ordered last.
 
@@ -200,9 +266,7 @@ def _shared_shingles(group: pd.DataFrame) -> pd.DataFrame:
 def routing_keys(docs: DataFrame, common: np.ndarray, shingles: int, percent: int = PERCENT, width: int = SHINGLE,
                  range_shingles: int = RANGE_SHINGLES) -> DataFrame:
     """``a, key``: the keys of each set that has any; linked sets share one. ``shingles`` is about how many there are."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, -(-shingles // range_shingles), min(partitions, shingles // LEAST_RANGE))
-    packed = _packed(docs, common, percent, width, ranges)
+    packed = _packed(docs, common, percent, width, max(1, -(-shingles // range_shingles)))
     found = (packed.groupBy("part").applyInPandas(_shared_shingles, "a long, spare int, times long, key long")
              .groupBy("a").agg(F.first("spare").alias("spare"), F.sort_array(F.collect_list(F.struct("times", "key"))).alias("all")))
     often, rare = F.filter("all", lambda x: x["times"] == 0), F.filter("all", lambda x: x["times"] > 0)
@@ -244,6 +308,15 @@ def _link_tasks(members: DataFrame, percent: int, width: int) -> DataFrame:
             .mapInPandas(link, "u long, v long"))
 
 
+def clusters(sets: DataFrame) -> DataFrame:
+    """``a, cluster`` of the sets that share a routing key with another set, directly or through others."""
+    keyed = sets.where(F.size("keys") > 0).select("a", F.explode("keys").alias("key"))
+    shared = materialize(keyed.groupBy("key").agg(F.min("a").alias("least"), F.max("a").alias("most"))
+                         .where("least <> most").select("key", "least"), "shared-keys")
+    hits = keyed.join(shared, "key").where("a <> least").select(F.col("a").alias("u"), F.col("least").alias("v"))
+    return components(hits).select(F.col("node").alias("a"), F.col("root").alias("cluster"))
+
+
 def _with_texts(members: DataFrame, docs: DataFrame) -> DataFrame:
     """The text of each member's document, by id (null-safe) and hash of the text, so that an id of many rows is no hot key."""
     if fits_broadcast(members):
@@ -345,12 +418,18 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, block: int = BLO
 
 def labelled(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK_SHINGLES, width: int = SHINGLE) -> DataFrame:
     """As ``jaccard_components``, with the row's ``text_hash`` and ``component``, a key that no two components share."""
-    sets = materialize(shingle_sets(docs, width), "shingle-sets")
+    grouped = percent >= GROUPED_FROM
+    sets = materialize(grouped_sets(docs, percent, width) if grouped else shingle_sets(docs, width), "shingle-sets")
     own = materialize(sets.where("n_shingles > 0").groupBy("a", "b").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("of"), F.first("n_shingles").alias("n"))
         .select("a", "b", "of.doc_id", "of.text_hash", "n"), "own-sets")
-    shingles = own.agg(F.sum("n").alias("n")).first().n or 0
-    roots = components(verified_links(own, routing_keys(docs, common_shingles(sets), shingles, percent, width), docs, percent, block, width))
+    if grouped:
+        links = _searched(clusters(sets).withColumnRenamed("cluster", "key"), own, docs, percent, block, width)
+    else:
+        shingles = own.agg(F.sum("n").alias("n")).first().n or 0
+        keyed = routing_keys(docs, common_shingles(sets), shingles, percent, width)
+        links = verified_links(own, keyed, docs, percent, block, width)
+    roots = components(links)
     rooted = own.join(roots, own["a"] == roots["node"], "left")
     # written first, so that the join can split a component that holds many sets
     least = materialize(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least-ids")

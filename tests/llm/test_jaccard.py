@@ -126,6 +126,30 @@ def test_linking_sets_always_share_a_key(spark, percent, width, range_shingles,
         assert sum(map(len, keys.values())) < 0.5 * sum(map(len, sets.values()))
 
 
+@pytest.mark.parametrize("percent", [90, 75])
+def test_linking_sets_always_share_a_group(percent):
+    rng = np.random.default_rng(percent)
+    low, apart = jaccard.bands(percent, 4096)
+    for _ in range(3000):
+        n = int(rng.integers(1, 400))
+        base = rng.integers(0, 2**63, size=n, dtype=np.uint64)
+        drop = int(rng.integers(0, max(1, n // 8) + 1))
+        other = np.concatenate([base[drop:], rng.integers(0, 2**63, size=int(rng.integers(0, max(1, n // 8) + 1)), dtype=np.uint64)])
+        a, b = np.unique(base), np.unique(other)
+        common = len(np.intersect1d(a, b))
+        if len(b) and 100 * common >= percent * (len(a) + len(b) - common) and not np.array_equal(a, b):
+            keys = [set(np.concatenate(jaccard.group_keys(s, percent, low, apart) or [np.empty(0)]).tolist()) for s in (a, b)]
+            assert keys[0] & keys[1]
+
+
+def test_lopsided_groups_still_meet():
+    low, apart = jaccard.bands(90, 4096)
+    a = np.arange(1, 41, dtype=np.uint64)       # all high bits zero: every shingle in the first group
+    b = np.arange(1, 43, dtype=np.uint64)
+    keys = [set(np.concatenate(jaccard.group_keys(s, 90, low, apart)).tolist()) for s in (a, b)]
+    assert keys[0] & keys[1]
+
+
 def test_places_grow_with_the_hash_and_fill_the_ranges():
     rng = np.random.default_rng(5)
     hashes = np.sort(rng.integers(0, 1 << 64, 50_000, dtype=np.uint64))
