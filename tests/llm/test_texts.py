@@ -8,6 +8,7 @@ import numpy as np
 from llm.fixtures import awkward, awkward_rows, prose
 from pagesearch.llm import edit_embedding as ee
 from pagesearch.llm import fingerprints, token_counts, toxicity
+from pagesearch.llm.edit_distance import edit_distance
 from pagesearch.llm.tokens import load
 
 
@@ -102,6 +103,53 @@ def test_near_texts_by_edits_are_one_class(spark):
     assert out == {d: d // 10 * 10 if d < 90 else d for d, *_ in given}
 
 
+def plain_distance(a, b):
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        before = row
+    return before[-1]
+
+
+def test_edit_distance_equals_the_plain_table():
+    rng = random.Random(11)
+    for _ in range(1_500):
+        a, b = ("".join(rng.choice("ab\x00é😀") for _ in range(rng.randint(0, 16))) for _ in range(2))
+        most, want = rng.randint(0, 17), plain_distance(a, b)
+        assert edit_distance(a, b, most) == (want if want <= most else -1)
+    text = prose(rng, 300)
+    assert edit_distance(text, text[:500] + "x" + text[500:-1], 10) == 2
+
+
+def test_edit_classes_find_the_near_texts_and_no_others(spark):
+    rng = random.Random(12)
+    opening = prose(rng, 12)    # all begin alike, so that bands of the opening are crowded with unlike texts
+    given, near = [], []
+    for i in range(60):
+        words = (opening + " " + prose(rng, rng.randint(30, 250))).split()
+        changed = list(words)
+        for at in rng.sample(range(len(words)), len(words) // 25):
+            changed[at] = rng.choice(["alpha", "beta", "gamma"])
+        given += [(2 * i, " ".join(words), "en", "s", 0), (2 * i + 1, " ".join(changed), "en", "s", 0)]
+    given += [(1_000, given[0][1], "en", "s", 0), (1_001, "", "en", "s", 0), (1_002, "", "en", "s", 0), (None, None, "en", "s", 0)]
+    rows = fingerprints.op7_edit_fingerprints(awkward(spark, given)).collect()
+    out = {r.doc_id: r for r in rows}
+    texts = {d: t for d, t, *_ in given if t}
+    ids = [d for d in texts if d < 1_000]
+    for i, d in enumerate(ids):
+        for other in ids[i + 1:]:
+            if edit_distance(texts[d], texts[other], int(max(len(texts[d]), len(texts[other])) * fingerprints.EDITS)) >= 0:
+                near.append((d, other))
+    assert near == [(d, d + 1) for d in range(0, 120, 2)]
+    found = [pair for pair in near if out[pair[0]].class_id == out[pair[1]].class_id == pair[0]]
+    assert len(found) >= 0.9 * len(near)
+    assert all(out[d].class_id in (d, d - d % 2) for d in ids) and {out[d].n_links for d in ids} <= {0, 1}
+    assert out[1_000].class_id == 0 and out[1_000].n_links == out[0].n_links
+    assert [(out[d].class_id, out[d].n_links) for d in (1_001, 1_002, None)] == [(1_001, 0), (1_002, 0), (None, 0)]
+
+
 def test_token_counts_equal_the_library(spark):
     rng = random.Random(10)
     parts = ["a", "é", "word", " ", "  ", "\n", "\t", "\xa0", "'ll", "'s", "1", "23", ",", "!?", "<|endoftext|>", "<|endo", "ß", "中", "😀",
