@@ -16,7 +16,7 @@ from pagesearch.session import materialize
 
 # Words, and the phrases whose places are counted
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-PHRASES = {"mit": "mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
+PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
 # Label and text of the templates: usual notices, as their licenses word them
 TEMPLATES = [

@@ -61,3 +61,10 @@ def test_lower_threshold_and_own_templates(spark):
 
 def test_no_rows(spark):
     assert licenses.op1_license_scan(awkward(spark).limit(0)).count() == 0
+
+
+def test_base_phrases_are_those_of_the_contract(spark):
+    given = ["The MIT License", "Released UNDER the-MIT license, under the MIT License", "Apache License, Version 2.0", "cc-by-nc"]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.op1_license_scan(docs).collect()}
+    assert got == {0: (3, 0, None, None, ""), 1: (9, 2, 1, 5, "mit"), 2: (5, 1, 0, 0, "apache-2"), 3: (3, 1, 0, 0, "cc-by-nc")}
