@@ -220,3 +220,36 @@ def test_postings_scan_gets_the_terms(spark, index, capsys):
     M.postings_of(M.slot_terms(slots, index, asked), index, asked).explain("formatted")
     plan = capsys.readouterr().out
     assert "PartitionFilters" in plan and "In(term" in plan.replace("EqualTo(term", "In(term")
+
+
+def test_terms_of_a_document_are_counted_in_its_row(spark):
+    from pagesearch.config import SiteConfig
+    from pagesearch.operators import postings as P
+
+    config = SiteConfig("u", field_weights={"title": 10.0, "body": 1.5}, synonym_groups={"with": ("avec", "dans la")})
+    docs = spark.createDataFrame([("u", "1", "cats", "avec cats ponies dans la avec", 0.5), ("u", "2", "bus", None, 1.0), ("u", "3", "", "", 1.0),
+                                  ("u", "4", "b", "b", 1.0), ("u", "4", "c", "b", 1.0)], "site string, doc_id string, title string, body string, score double")
+    rows = P.term_postings(docs, config)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in ("Window", "SortMergeJoin", "Generate"))     # tokens are never rows of their own before
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.doc_id, []).append((r.term, r.wtf, r.max_wtf, r.doc_score, [(f.field, f.tf, f.positions) for f in r.fields]))
+    assert sorted(got["1"]) == [
+        ("+ cat", 11.5, 11.5, 0.5, [("title", 1, [0]), ("body", 1, [2])]), ("+ dan", 1.5, 11.5, 0.5, [("body", 1, [4])]), ("+ pony", 1.5, 11.5, 0.5, [("body", 1, [3])]),
+        ("avec", 3.0, 11.5, 0.5, [("body", 2, [1, 6])]), ("cats", 11.5, 11.5, 0.5, [("title", 1, [0]), ("body", 1, [2])]),
+        ("dans", 1.5, 11.5, 0.5, [("body", 1, [4])]), ("la", 1.5, 11.5, 0.5, [("body", 1, [5])]), ("ponies", 1.5, 11.5, 0.5, [("body", 1, [3])]),
+        ("~ with", 4.5, 11.5, 0.5, [("body", 3, [1, 4, 6])])]
+    assert got["2"] == [("bus", 10.0, 10.0, 1.0, [("title", 1, [0])])] and "3" not in got
+    # copies of a key count together
+    assert {(t, w, tuple(map(str, f))) for t, w, _, _, f in got["4"]} == {
+        ("b", 13.0, ("('title', 1, [0])", "('body', 2, [1, 1])")), ("c", 10.0, ("('title', 1, [0])",))} and len(got["4"]) == 4
+
+
+def test_postings_agree_with_stems_in_spark(spark):
+    from pagesearch.functions.text import stem
+    from pagesearch.operators.postings import _root
+
+    words = ["as", "bus", "gas", "cats", "ponies", "eies", "aies", "movies", "heroes", "trees", "aes", "class", "ées", "xaies", "yeies", "boxes", "s", "𝒜𝒜s", "status"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", stem(F.col("w")).alias("r")).collect()
+    assert all(_root(r.w) == r.r for r in got)
