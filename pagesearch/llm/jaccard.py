@@ -41,7 +41,7 @@ GROUPED_FROM = 90           # percent from which sets are routed by equal groups
 CHUNK_CHARS = 16_000_000    # texts that are shingled together
 COMMON_IN_CHUNK = 8         # sets of a chunk with a shingle that make it a candidate for the common ones
 MOST_COMMON = 100_000       # common shingles that every task holds (0.8 MB)
-RANGE_SHINGLES = 6_000_000  # shingles of one range of hashes, which a task counts at a time
+RANGE_SHINGLES = 2_000_000  # shingles of one range of hashes, which a task counts at a time
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
