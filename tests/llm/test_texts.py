@@ -8,8 +8,10 @@ import numpy as np
 from llm.fixtures import awkward, awkward_rows, prose
 from pagesearch.llm import edit_embedding as ee
 from pagesearch.llm import fingerprints, token_counts, toxicity
-from pagesearch.llm.edit_distance import edit_distance
+from pagesearch.llm.edit_distance import edit_distance, gram_counts, may_be_near, within
 from pagesearch.llm.tokens import load
+from pagesearch.session import FREED, freed_shuffles, materialize
+from pyspark.sql import functions as F
 
 
 def test_toxicity_is_learnt_and_held_out(spark):
@@ -150,6 +152,52 @@ def test_edit_classes_find_the_near_texts_and_no_others(spark):
     assert [(out[d].class_id, out[d].n_links) for d in (1_001, 1_002, None)] == [(1_001, 0), (1_002, 0), (None, 0)]
 
 
+def test_no_pair_of_a_crowded_band_is_dropped(spark, monkeypatch):
+    rng = random.Random(13)
+    opening, given = prose(rng, 20), []
+    for i in range(40):     # unlike texts that begin alike, each with a far copy: the opening is often all that bands share
+        words = (opening + " " + prose(rng, 70)).split()
+        changed = list(words)
+        for at in rng.sample(range(20, len(words)), 7):
+            changed[at] = changed[at][:1] + "q" + changed[at][2:]
+        given += [(2 * i, " ".join(words), "en", "s", 0), (2 * i + 1, " ".join(changed), "en", "s", 0)]
+    texts = {d: t for d, t, *_ in given}
+    marks = dict(zip(texts, ee.fingerprints(list(texts.values())), strict=True))
+    bands = {d: set(fingerprints.band_keys(len(t), marks[d])) for d, t in texts.items()}
+    want = [(a, b) for a in texts for b in texts if a < b and bands[a] & bands[b]
+            and ee.likeness(len(texts[a]), marks[a], len(texts[b]), marks[b]) >= fingerprints.LIKENESS
+            and edit_distance(texts[a], texts[b], int(max(len(texts[a]), len(texts[b])) * fingerprints.EDITS)) >= 0]
+    assert len(want) > 30 and max(sum(band in own for own in bands.values()) for one in bands.values() for band in one) > 50
+    for rows in (fingerprints.BLOCK_ROWS, 10):
+        monkeypatch.setattr(fingerprints, "BLOCK_ROWS", rows)
+        out = {r.doc_id: r.component_id for r in fingerprints.edit_components(awkward(spark, given)).collect()}
+        assert [pair for pair in want if out[pair[0]] != out[pair[1]]] == []
+        assert all(out[d] in (d, d - d % 2) for d in texts)
+
+
+def test_quick_near_tests_agree_with_the_edit_distance():
+    rng = random.Random(14)
+    for _ in range(1_500):
+        a = [rng.choice("abcdé😀") for _ in range(rng.randint(1, 70))]
+        b = list(a)
+        for _ in range(rng.randint(0, 8)):
+            at = rng.randint(0, len(b))
+            b[at:at + rng.randint(0, 2)] = rng.choice(["", "x", "ab"])
+        a, b, most = "".join(a), "".join(b[20:] + b[:20] if rng.random() < 0.2 else b), rng.randint(0, 20)
+        near = edit_distance(a, b, most) >= 0
+        assert within(a, b, most) == near
+        longer = np.array([max(len(a), len(b))])
+        assert may_be_near(gram_counts(a, 5), gram_counts(b, 5)[None], longer, np.array([most]))[0] or not near
+
+
+def test_shuffle_files_go_with_their_action(spark):
+    before = spark.conf.get(FREED)
+    with freed_shuffles(spark):
+        assert spark.conf.get(FREED) == "true"
+    made = materialize(spark.range(100).repartition(5).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert spark.conf.get(FREED) == before and {r["count"] for r in made.collect()} == {14, 15}
+
+
 def test_token_counts_equal_the_library(spark):
     rng = random.Random(10)
     parts = ["a", "é", "word", " ", "  ", "\n", "\t", "\xa0", "'ll", "'s", "1", "23", ",", "!?", "<|endoftext|>", "<|endo", "ß", "中", "😀",
