@@ -13,9 +13,9 @@ from pagesearch.operators.refresh import refresh_diff, upsert_latest
 from pagesearch.plans.index_site import index_documents, open_index, parse_documents, reindex
 from pagesearch.plans import index_site, search as P
 from pagesearch.plans.search import search
-from pagesearch.session import fresh_path, materialize
+from pagesearch.session import FREED, fresh_path, materialize
 from pagesearch.sources.catalogue import configured_landing_pages
-from pagesearch.sources.store import IndexStore
+from pagesearch.sources.store import IndexStore, doc_bucket
 from pagesearch.streaming import ingest as I
 
 SITE = "https://docs.example.com"
@@ -81,6 +81,25 @@ def test_own_parser(spark, store):
     assert all(r.title.isupper() for r in store.read("documents").collect())
 
 
+def test_copies_of_a_key_meet_in_their_bucket(spark, store, monkeypatch):
+    seen, real = [], index_site.write_by_id
+
+    def write(docs, path, *buckets):
+        plan = docs._jdf.queryExecution().executedPlan().toString()
+        seen.append((plan.count("Exchange "), spark.conf.get(FREED)))
+        real(docs, path, *buckets)
+
+    monkeypatch.setattr(index_site, "write_by_id", write)
+    rows = [(page, SITE, f"key{n}", f"{n}", f"body {page}") for n in range(20) for page in range(1 + n % 3)] + [(7, SITE, "none", None, "x")]
+    docs = spark.createDataFrame(rows, "page_id long, site string, doc_key string, doc_id string, body string")
+    docs = docs.withColumns({"url": F.lit(SITE), "title": F.lit("t"), "section_title": F.lit(""), "s": F.lit(""), "score": F.lit(1.0)})
+    version = index_site.store_index(docs, CONFIG, store, 2, doc_buckets=3)
+    out = store.read("documents", version).withColumn("of", doc_bucket(F.col("site"), F.col("doc_id"), 3)).collect()
+    assert {(r.doc_key, r.page_id) for r in out} == {(f"key{n}", n % 3) for n in range(20)} | {("none", 7)} and len(out) == 21
+    assert all(r.doc_bucket == r.of for r in out)
+    assert seen == [(1, "true")]    # one shuffle, whose files go with the action
+
+
 def test_upsert_and_diff(spark):
     rows = spark.createDataFrame([("k", 1, "a"), ("k", 3, "c"), ("k", 2, "b"), ("l", 1, "d")], "doc_key string, page_id long, v string")
     assert {tuple(r) for r in upsert_latest(rows, ["page_id"]).collect()} == {("k", 3, "c"), ("l", 1, "d")}
