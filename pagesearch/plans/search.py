@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from pagesearch.config import STOP_WORDS, SiteConfig
 from pagesearch.functions import requests as R
@@ -18,6 +21,7 @@ from pagesearch.operators.skew import lookup_join
 from pagesearch.plans.index_site import SearchIndex, documents_of
 from pagesearch.session import materialize
 
+PUSHED_PHRASES = 1_000     # synonyms of several words that are looked up in the row of a text
 QUERY_WORD = "(" + TOKEN[1:-1] + r"\*?)"
 
 
@@ -63,15 +67,20 @@ def prepare_requests(requests: DataFrame, index: SearchIndex, default_site: str)
 
 def query_words(text: Column) -> Column:
     """``array<struct<text, kind>>`` of a clean query: its words without stop words, starred ones as prefixes."""
-    pieces = F.regexp_extract_all(F.lower(text), F.lit(QUERY_WORD), F.lit(1))
+    low = F.lower(text)
+    pieces = F.regexp_extract_all(low, F.lit(QUERY_WORD), F.lit(1))
 
     def word(piece: Column) -> Column:
-        starred = piece.rlike(r"(\A|[^\\])\*\z")
+        starred = F.endswith(piece, F.lit("*")) & piece.rlike(r"(\A|[^\\])\*\z")
         bare = F.when(starred, F.regexp_replace(piece, r"\*\z", "")).otherwise(piece)
         return F.struct(unescape(bare).alias("text"), F.when(starred, "prefix").otherwise("exact").alias("kind"))
 
-    return F.filter(F.transform(pieces, word),
-                    lambda w: (w["kind"] == "prefix") | ~w["text"].isin(*STOP_WORDS))
+    signed = F.filter(F.transform(pieces, word),
+                      lambda w: (w["kind"] == "prefix") | ~w["text"].isin(*STOP_WORDS))
+    # most texts have neither star nor backslash, and each piece is its word
+    plain = F.transform(F.filter(pieces, lambda piece: ~piece.isin(*STOP_WORDS)),
+                        lambda piece: F.struct(piece.alias("text"), F.lit("exact").alias("kind")))
+    return F.when(F.contains(low, F.lit("*")) | F.contains(low, F.lit("\\")), signed).otherwise(plain)
 
 
 def synonym_phrases(spark: SparkSession, config: SiteConfig) -> DataFrame:
@@ -80,45 +89,97 @@ def synonym_phrases(spark: SparkSession, config: SiteConfig) -> DataFrame:
     return spark.createDataFrame(rows, "n int, phrase string, mark string")
 
 
-def query_pieces(queries: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Rows ``(qkey, site, slot, kind, text)``: the words of each query in order, a synonym of several words as one slot.
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _left_to_right(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Which of a text's runs, in order of their starts, are taken when each begins behind the one taken before it."""
+    def taken(places: Iterable[tuple[int, int]]) -> list[int]:
+        found, behind = [], 0
+        for k, (start, end) in enumerate(places):
+            if start >= behind:
+                found.append(k)
+                behind = end
+        return found
 
-    The runs of words of each length in the synonym table are joined with it. From left to right the longest
-    run at a place is taken, and the search goes on behind it; starred words are in no run. A run that is in several
-    groups gives its slot one row for each.
-    """
-    worded = queries.select("qkey", "site", query_words(F.col("query_text")).alias("words"))
+    return pd.Series([None if at is None else taken(zip(at, to, strict=True)) for at, to in zip(starts, ends, strict=True)])
+
+
+_RUNS = "array<struct<at:int,n:int,marks:array<string>>>"
+
+
+def _runs_in_row(worded: DataFrame, phrases: list[Row]) -> DataFrame:
+    """Add ``runs`` to texts, the longest run at each place, by the few phrases given."""
+    marks: dict[tuple[int, str], set[str]] = defaultdict(set)
+    for row in phrases:
+        marks[row.n, row.phrase].add(row.mark)
+    heads = sorted({phrase.split(" ", 1)[0] for _, phrase in marks})
+    sizes = sorted({n for n, _ in marks}, reverse=True)
+    none = F.lit(None).cast("array<string>")
+    by_size = {n: F.create_map(*[x for (m, phrase), of in marks.items() if m == n
+                                 for x in (F.lit(phrase), F.array(*map(F.lit, sorted(of))))]) for n in sizes}
+
+    def run(i: Column) -> Column:
+        found = [F.when(i + n <= F.size("words"), F.try_element_at(by_size[n], _phrase(i, n))).otherwise(none) for n in sizes]
+        n = reduce(lambda rest, k: F.when(found[k].isNotNull(), sizes[k]).otherwise(rest), range(len(sizes) - 1, -1, -1), F.lit(None).cast("int"))
+        return F.struct(i.alias("at"), n.alias("n"), F.coalesce(*found).alias("marks"))
+
+    # only places with the first word of a phrase are looked at
+    begins = F.filter(F.transform("words", lambda w, i: F.when((w["kind"] == "exact") & w["text"].isin(*heads), i)), lambda i: i.isNotNull())
+    return worded.withColumn("runs", F.filter(F.transform(begins, run), lambda r: r["n"].isNotNull()).cast(_RUNS))
+
+
+def _phrase(i: Column, n: int) -> Column:
+    """The words of a run joined by spaces, null when one of them is starred."""
+    part = F.slice("words", i + 1, F.lit(n))
+    return F.when(F.forall(part, lambda w: w["kind"] == "exact"), F.array_join(F.transform(part, lambda w: w["text"]), " "))
+
+
+def _runs_by_join(worded: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``_runs_in_row`` for a phrase table of any size."""
     lengths = [row.n for row in phrases.select("n").distinct().collect()]   # a row per length of a synonym
 
     def runs(n: int) -> Column:
-        def run(i: Column) -> Column:
-            part = F.slice("words", i + 1, F.lit(n))
-            phrase = F.when(F.forall(part, lambda w: w["kind"] == "exact"), F.array_join(F.transform(part, lambda w: w["text"]), " "))
-            return F.struct(i.alias("at"), F.lit(n).alias("n"), phrase.alias("phrase"))
-
         places = F.sequence(F.lit(0), F.size("words") - n)
-        return F.transform(F.when(F.size("words") >= n, places).otherwise(F.array().cast("array<int>")), run)
+        return F.transform(F.when(F.size("words") >= n, places).otherwise(F.array().cast("array<int>")),
+                           lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), _phrase(i, n).alias("phrase")))
 
     grams = worded.select("qkey", F.inline(F.flatten(F.array(*[runs(n) for n in lengths])))).filter(F.col("phrase").isNotNull())
     known = lookup_join(grams, phrases, ["n", "phrase"], ["qkey"])
     longest = known.groupBy("qkey", "at", "n").agg(F.sort_array(F.collect_set("mark")).alias("marks")) \
         .groupBy("qkey", "at").agg(F.max(F.struct("n", "marks")).alias("run")) \
-        .groupBy("qkey").agg(F.map_from_entries(F.collect_list(F.struct("at", "run"))).alias("runs"))
-    placed = worded.join(longest, "qkey", "left")
-    piece = "array<struct<kind:string,text:string>>"
-
-    def step(done: Column, i: Column) -> Column:
-        run = F.try_element_at("runs", i)
-        word = F.get("words", i)
-        slot = F.when(run.isNotNull(), F.transform(run["marks"], lambda mark: F.struct(F.lit("token").alias("kind"), mark.alias("text")))) \
-            .otherwise(F.array(F.struct(word["kind"].alias("kind"), word["text"].alias("text"))))
-        taken = F.struct((i + F.coalesce(run["n"], F.lit(1))).alias("next"), F.concat(done["slots"], F.array(slot)).alias("slots"))
-        return F.when(i < done["next"], done).otherwise(taken)
-
-    start = F.struct(F.lit(0).alias("next"), F.array().cast(f"array<{piece}>").alias("slots"))
-    at = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
-    slots = F.aggregate(at, start, step, lambda done: done["slots"])
-    return placed.select("qkey", "site", F.posexplode(slots).alias("slot", "pieces")) \
+        .groupBy("qkey").agg(F.array_sort(F.collect_list(F.struct("at", "run.n", "run.marks"))).cast(_RUNS).alias("runs"))
+    return worded.join(longest, "qkey", "left")
+
+
+def query_pieces(queries: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Rows ``(qkey, site, slot, kind, text)``: the words of each query in order, a synonym of several words as one slot.
+
+    From left to right the longest run of words in the synonym table at a place is taken, and the search goes on behind
+    it; starred words are in no run. A run that is in several groups gives its slot one row for each. Up to
+    ``PUSHED_PHRASES`` synonyms are looked up in the row of a text, which then stays where it is; more are joined. The
+    work grows with a text's words, not with their square.
+    """
+    worded = queries.select("qkey", "site", query_words(F.col("query_text")).alias("words"))
+    few = phrases.select("n", "phrase", "mark").take(PUSHED_PHRASES + 1)
+    placed = _runs_in_row(worded, few) if 0 < len(few) <= PUSHED_PHRASES else _runs_by_join(worded, phrases)
+    ends = F.transform("runs", lambda r: r["at"] + r["n"])
+    chosen = placed.withColumn("taken", F.transform(_left_to_right(F.transform("runs", lambda r: r["at"]), ends),
+                                                    lambda k: F.get("runs", k)))
+
+    def pieces(words: Column) -> Column:
+        return F.transform(words, lambda w: F.array(F.struct(w["kind"].alias("kind"), w["text"].alias("text"))))
+
+    def behind(k: Column) -> Column:
+        last = F.get("taken", k - 1)
+        return F.coalesce(last["at"] + last["n"], F.lit(0))
+
+    def part(run: Column, k: Column) -> Column:
+        mark = F.transform(run["marks"], lambda mark: F.struct(F.lit("token").alias("kind"), mark.alias("text")))
+        return F.concat(pieces(F.slice("words", behind(k) + 1, run["at"] - behind(k))), F.array(mark))
+
+    size = F.size("taken")
+    rest = pieces(F.slice("words", behind(size) + 1, F.size("words") - behind(size)))
+    slots = F.when(size > 0, F.concat(F.flatten(F.transform("taken", part)), rest)).otherwise(pieces(F.col("words")))
+    return chosen.select("qkey", "site", F.posexplode(slots).alias("slot", "pieces")) \
         .select("qkey", "site", "slot", F.inline("pieces"))
 
 
