@@ -15,9 +15,9 @@ from pagesearch.operators.refresh import refresh_diff, upsert_latest
 from pagesearch.plans.index_site import index_documents, open_index, parse_documents, reindex
 from pagesearch.plans import index_site, search as P
 from pagesearch.plans.search import search
-from pagesearch.session import FREED, fresh_path, materialize
+from pagesearch.session import FREED, discard, fresh_path, materialize, work_folder
 from pagesearch.sources.catalogue import configured_landing_pages
-from pagesearch.sources.store import IndexStore, doc_bucket
+from pagesearch.sources.store import IndexStore, children, doc_bucket
 from pagesearch.streaming import ingest as I
 
 SITE = "https://docs.example.com"
@@ -102,6 +102,22 @@ def test_copies_of_a_key_meet_in_their_bucket(spark, store, monkeypatch):
     assert seen == [(1, "true")]    # one shuffle, whose files go with the action
 
 
+def test_documents_of_a_page_lie_together_and_their_tables_go(spark, store):
+    def left():
+        return [name for name in children(spark, f"{work_folder(spark)}/tables") if name.startswith(("parsed-", "scored-"))]
+
+    before = left()
+    reindex(page_rows(spark), CONFIG, store, buckets=4)
+    assert left() == before and store.read("documents").count() == len(TEXTS)
+    with pytest.raises(ValueError):
+        discard(store.read("terms"))
+    url, md5 = f"{SITE}/a:b", "0123456789abcdef" * 2
+    ids = [(f"{url}:page:{md5}",), (f"{url}:section:{md5[::-1]}",), (url,), ("7",), ("8",), (None,), (f"{url}:page:{md5}x",)]
+    buckets = [r.b for r in spark.createDataFrame(ids, "doc_id string").coalesce(1)
+               .select(doc_bucket(F.lit(SITE), F.col("doc_id"), 1_000_003).alias("b")).collect()]
+    assert len(set(buckets[:3])) == 1 and len(set(buckets[2:])) == 5
+
+
 def test_upsert_and_diff(spark):
     rows = spark.createDataFrame([("k", 1, "a"), ("k", 3, "c"), ("k", 2, "b"), ("l", 1, "d")], "doc_key string, page_id long, v string")
     assert {tuple(r) for r in upsert_latest(rows, ["page_id"]).collect()} == {("k", 3, "c"), ("l", 1, "d")}
