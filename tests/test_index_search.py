@@ -325,3 +325,57 @@ def test_postings_agree_with_stems_in_spark(spark):
     words = ["as", "bus", "gas", "cats", "ponies", "eies", "aies", "movies", "heroes", "trees", "aes", "class", "ées", "xaies", "yeies", "boxes", "s", "𝒜𝒜s", "status"]
     got = spark.createDataFrame([(w,) for w in words], "w string").select("w", stem(F.col("w")).alias("r")).collect()
     assert all(_root(r.w) == r.r for r in got)
+
+
+def test_stored_postings_are_made_where_documents_lie(spark, store):
+    from pagesearch.operators import postings as Post
+
+    config = SiteConfig("u", field_weights={"title": 10.0, "body": 1.5, "s": 1.0},
+                        synonym_groups={"with": ("avec", "dans la"), "sea": ("cats", "dans la mer", "bus bus")})
+    random, words = Random(7), ["avec", "dans", "la", "mer", "cats", "ponies", "bus", "été", "𝒜s", "the", "boxes"]
+    text = lambda n: " ".join(random.choice(words) for _ in range(n))
+    rows = [(f"u{n % 2}", f"{n}", text(n % 4), text(n % 50) if n % 7 else None, text(1), 1.0 / (1 + n % 3)) for n in range(450)]
+    docs = spark.createDataFrame([*rows, ("u0", None, "la", "la", "", 1.0), ("u1", "none", None, "", "", 1.0)],
+                                 "site string, doc_id string, title string, body string, s string, score double").coalesce(3)
+    stored = Post.stored_postings(docs, config)
+    assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()     # no document is moved
+    made = Post.read_postings(stored, list(config.field_weights), list(config.field_weights.values()))
+    flat = lambda df: sorted(df.select("site", "doc_id", "term", F.round("wtf", 6), "max_wtf", "doc_score", F.to_json("fields")).collect(), key=str)
+    assert made.schema.simpleString() == Post.term_postings(docs, config).schema.simpleString()
+    assert flat(made) == flat(Post.term_postings(docs, config))
+    store_path = f"{store.home}/postings"
+    index_site.write_in_place(stored, store_path)
+    for site in ("u0", "u1"):      # one file for each task, not one for each task and bucket; rows sorted by term
+        files = [name for name in children(spark, f"{store_path}/site={site}") if name.endswith(".parquet")]
+        assert 1 <= len(files) <= stored.rdd.getNumPartitions()
+        for name in files:
+            terms = [r.term for r in spark.read.parquet(f"{store_path}/site={site}/{name}").collect()]
+            assert terms == sorted(terms)
+
+
+def test_corpus_pages_are_moved_before_they_are_split(spark):
+    from pagesearch.plans.index_site import enrich
+    from pagesearch.workload import corpus
+
+    rows = [(n, f"Title {n}. more\nline cc by-nc {n}\n\nlast", f"src{n % 2}", "fr" if n % 3 else None, 1) for n in range(40)]
+    rows += [rows[1], (1, "Other. text", "src1", "fr", 1), (50, None, "src9", "it", 0), (51, "", "src0", None, 0), (52, "x", None, None, 1)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    pages = corpus.corpus_pages(documents)
+    want = enrich(corpus.split_documents(pages).unionByName(corpus.index_pages(pages)), corpus.CORPUS)
+    placed = corpus.placed_corpus(documents, 5)
+    got = placed.drop("doc_bucket").select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    wrong = placed.filter(F.col("doc_bucket") != doc_bucket(F.col("site"), F.col("doc_id"), 5))
+    assert not wrong.head(1) and placed.select("doc_bucket").distinct().count() > 1
+    # copies of a key meet where their pages lie: documents are not moved again
+    once = upsert_latest(placed, ["page_id"], "doc_bucket", "doc_key")._jdf.queryExecution().executedPlan().toString()
+    assert once.count("Exchange hashpartitioning(doc_bucket") == 1 and "hashpartitioning(doc_key" not in once
+
+
+def test_fields_of_a_term_are_added_up_in_its_row(spark, index):
+    from pagesearch.workload.corpus_checks import field_sums
+
+    added = field_sums(index.postings)
+    assert "Exchange" not in added._jdf.queryExecution().executedPlan().toString()
+    want = index.postings.select("term", "doc_id", F.inline("fields")).groupBy("term", "doc_id").agg(F.round(F.sum("wtf"), 6).alias("wtf"))
+    assert sorted(map(tuple, added.collect())) == sorted(map(tuple, want.collect()))
