@@ -8,6 +8,8 @@ enough tokens follow on both sides (positional filter). The pairs left are verif
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from pagesearch.session import materialize
 # Words, and the phrases whose places are counted
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
+# The phrases that the query's own labels are found by; the places of its base are those of PHRASES alone
+NOTICES = {**PHRASES, "mit": "mit license"}
 
 # Label and text of the templates: usual notices, as their licenses word them
 TEMPLATES = [
@@ -98,11 +102,26 @@ def _phrase_starts(words: Column, phrase: str) -> Column:
     return F.when(joined.contains(f" {phrase} "), places).otherwise(F.array().cast("array<int>"))
 
 
-def scan(docs: DataFrame, templates: DataFrame | None = None, percent: int = PERCENT) -> DataFrame:
+def _starts(words: Column, phrases: Mapping[str, str]) -> Column:
+    """``n, first, last`` of all places where one of the phrases starts."""
+    places = F.concat(*[_phrase_starts(words, phrase) for phrase in phrases.values()])
+    return let(places, lambda s: F.struct(F.size(s).cast("long").alias("n"), F.array_min(s).cast("long").alias("first"),
+                                          F.array_max(s).cast("long").alias("last")))
+
+
+def _labels_of(words: Column, phrases: Mapping[str, str]) -> Column:
+    """The labels of the phrases that stand in the words."""
+    found = F.array(*[F.when(F.size(_phrase_starts(words, phrase)) > 0, F.lit(label)) for label, phrase in phrases.items()])
+    return F.filter(found, lambda x: x.isNotNull())
+
+
+def scan(docs: DataFrame, templates: DataFrame | None = None, percent: int = PERCENT,
+         notices: Mapping[str, str] = PHRASES) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``; see ``op1_license_scan`` for the columns.
 
     A null or empty text has no words and no labels; repeated rows each get theirs; an empty table gives
-    no rows; other columns are ignored. The score is 1 where a phrase stands, else the greatest share of a
+    no rows; other columns are ignored. The phrases of ``notices`` add their labels, and ``n_notices``, ``first_notice`` and
+    ``last_notice`` say where they stand. The score is 1 where a phrase stands, else the greatest share of a
     template that a block holds, 0 below the threshold.
     """
     spark = docs.sparkSession
@@ -122,42 +141,43 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, percent: int = PER
               .withColumn("place", F.row_number().over(Window.partitionBy("template").orderBy(F.coalesce("docs", F.lit(0)), "token"))))
     tokens = [r.token for r in ranked.where("place <= prefix").select("token").distinct().collect()]
     rare = F.array(*[F.lit(token) for token in sorted(tokens)]).cast("array<string>")
-    starts = F.concat(*[_phrase_starts(F.col("words"), phrase) for phrase in PHRASES.values()])
-    based = F.array(*[F.when(F.size(_phrase_starts(F.col("words"), phrase)) > 0, F.lit(label)) for label, phrase in PHRASES.items()])
     candidates = F.when(F.arrays_overlap("words", rare), F.filter(
         blocks_of(F.col("words")), lambda b: F.arrays_overlap(b["tokens"], rare))).otherwise(F.array())
     rows = materialize(read.select(
         F.monotonically_increasing_id().alias("row_id"), "doc_id", F.size("words").cast("long").alias("n_words"),
-        let(starts, lambda s: F.struct(F.size(s).cast("long").alias("n"), F.array_min(s).cast("long").alias("first"),
-                                       F.array_max(s).cast("long").alias("last"))).alias("base"),
-        F.filter(based, lambda x: x.isNotNull()).alias("base_labels"), candidates.alias("blocks")), "license-rows")
+        _starts(F.col("words"), PHRASES).alias("base"), _labels_of(F.col("words"), PHRASES).alias("base_labels"),
+        _starts(F.col("words"), notices).alias("notices"), _labels_of(F.col("words"), notices).alias("notice_labels"),
+        candidates.alias("blocks")), "license-rows")
     exploded = rows.select("row_id", F.explode("blocks").alias("b")).select(
         F.struct("row_id", F.col("b.block").alias("block")).alias("block_id"), F.col("b.tokens").alias("tokens"))
     matched = (containment_join(exploded, templates, frequencies, percent).groupBy(F.col("block_id.row_id").alias("row_id"))
                .agg(F.collect_set("label").alias("found"), F.max("share").alias("share")))
-    labels = F.array_sort(F.array_union("base_labels", F.coalesce("found", F.array().cast("array<string>"))))
+    labels = F.array_sort(F.array_union(F.array_union("base_labels", "notice_labels"), F.coalesce("found", F.array().cast("array<string>"))))
     return rows.join(matched, "row_id", "left").select(
         "doc_id", "n_words", F.col("base.n").alias("n_base"), F.col("base.first").alias("first_word"),
         F.col("base.last").alias("last_word"), F.array_join(F.array_sort("base_labels"), ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"),
-        F.when(F.size("base_labels") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"))
+        F.when((F.size("base_labels") > 0) | (F.size("notice_labels") > 0), 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        F.col("notices.n").alias("n_notices"), F.col("notices.first").alias("first_notice"), F.col("notices.last").alias("last_notice"))
 
 
 def op1_license_scan(docs: DataFrame) -> DataFrame:
-    return scan(docs)
+    return scan(docs, notices=NOTICES)
 
 
 def _sql() -> str:
     quoted = ", ".join("('" + label + "', '" + text.lower().replace("'", "''") + "')" for label, text in TEMPLATES)
-    places = ",\n".join(
+    places, notices = (" UNION ALL ".join(
         f"""(SELECT rid, '{label}' AS label, i - 1 AS start FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM t)
      WHERE {" AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split()))})"""
-        for label, phrase in PHRASES.items()).replace("),\n(", ") UNION ALL (")
+        for label, phrase in phrases.items()) for phrases in (PHRASES, NOTICES))
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p AS ({places}),
 b AS (SELECT rid, count(*) AS n, min(start) AS first, max(start) AS last, list_sort(list(DISTINCT label)) AS base FROM p GROUP BY rid),
+o AS ({notices}),
+a AS (SELECT rid, count(*) AS n_notices, min(start) AS first_notice, max(start) AS last_notice, list(DISTINCT label) AS noticed FROM o GROUP BY rid),
 l AS (SELECT label, list_distinct(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS tokens
       FROM (VALUES {quoted}) v(label, text)),
 k AS (SELECT rid, w[s:s + {BLOCK - 1}] AS block FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - {STEP}, 1) + 1, {STEP})) AS s FROM t)),
@@ -165,9 +185,10 @@ m AS (SELECT rid, label, len(list_intersect(tokens, block)) / len(tokens) AS sha
 f AS (SELECT rid, list(DISTINCT label) AS found, max(share) AS share FROM m WHERE 100 * c >= {PERCENT} * n GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first::BIGINT AS first_word, last::BIGINT AS last_word,
        coalesce(array_to_string(base, ','), '') AS base_labels,
-       coalesce(array_to_string(list_sort(list_distinct(list_concat(base, found))), ','), '') AS labels,
-       CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
-FROM t LEFT JOIN b USING (rid) LEFT JOIN f USING (rid)
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(list_concat(base, noticed), found))), ','), '') AS labels,
+       CASE WHEN n > 0 OR n_notices > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score,
+       coalesce(n_notices, 0)::BIGINT AS n_notices, first_notice::BIGINT AS first_notice, last_notice::BIGINT AS last_notice
+FROM t LEFT JOIN b USING (rid) LEFT JOIN a USING (rid) LEFT JOIN f USING (rid)
 """
 
 

@@ -68,3 +68,25 @@ def test_base_phrases_are_those_of_the_contract(spark):
     docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.op1_license_scan(docs).collect()}
     assert got == {0: (3, 0, None, None, ""), 1: (9, 2, 1, 5, "mit"), 2: (5, 1, 0, 0, "apache-2"), 3: (3, 1, 0, 0, "cc-by-nc")}
+
+
+def test_notices_of_the_mit_license_are_labelled_beside_the_base(spark):
+    given = ["The MIT License", "MIT-license, under the MIT License", "license mit", None, "Apache License, Version 2.0 mit license"]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_base, r.base_labels, r.labels, r.score, r.n_notices, r.first_notice, r.last_notice)
+           for r in licenses.op1_license_scan(docs).collect()}
+    assert got == {0: (0, "", "mit", 1.0, 1, 1, 1), 1: (1, "mit", "mit", 1.0, 2, 0, 4), 2: (0, "", "", 0.0, 0, None, None),
+                   3: (0, "", "", 0.0, 0, None, None), 4: (1, "apache-2", "apache-2,mit", 1.0, 2, 0, 5)}
+
+
+def test_the_sql_finds_the_notices(spark, tmp_path):
+    from compare import difference
+    from pagesearch.workload import Check
+    import duckdb
+
+    given = ["The MIT License", "MIT-license, under the MIT License", "license mit", None, "cc by nc", "Apache License, Version 2.0 mit license"]
+    spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    check = Check(lambda s, d: licenses.op1_license_scan(s.read.parquet(f"{d}/documents.parquet")), licenses.SQL)
+    assert difference(spark, str(tmp_path), check, connection) is None
