@@ -178,6 +178,52 @@ def test_stream_keeps_each_key_once_without_state(spark, tmp_path):
     assert read() == sorted(want, key=repr)
 
 
+def test_tables_on_the_way_go_and_postings_stay_where_their_documents_lie(spark, tmp_path, monkeypatch):
+    from pagesearch.session import work_folder
+
+    def left():
+        names = ("parsed-", "crawl-", "scored-", "added-", "fresh-", "moved-", "new-postings-", "valid-", "leaving-", "segment-documents-")
+        return {name for name in segments.children(spark, f"{work_folder(spark)}/tables") if name.startswith(names)}
+
+    store, pages, before = IndexStore(spark, str(tmp_path), "docs"), site(6), left()
+    monkeypatch.setattr(segments, "mergeable", len)
+    refresh_index(store, CONFIG, parse_documents(frame(spark, pages), CONFIG), 4, 3)
+    later = dict(pages) | {"a0/b0/c0": ("Chapter 0", "entirely new"), "a1": ("Areal", pages["a1"][1])}
+    refresh_index(store, CONFIG, parse_documents(frame(spark, later), CONFIG))
+    assert left() == before
+    for segment in segments.manifest(store):
+        folder = segments.read_table(store, segment.name, "postings")
+        assert "term_bucket" not in folder.columns
+        files = len(folder.inputFiles())
+        assert files <= len(segments.read_table(store, segment.name, "documents").inputFiles())
+    assert len(segments.manifest(store)) == 2
+
+
+def test_segments_keep_the_weights_they_were_built_with(spark, tmp_path):
+    from dataclasses import replace
+
+    store, pages = IndexStore(spark, str(tmp_path), "docs"), {"a": ("A", "apple"), "a/b": ("B", "pear plum")}
+    apply_pages(store, CONFIG, parse_documents(frame(spark, pages), CONFIG), None, 2, 2)
+    heavy = replace(CONFIG, field_weights={"body": 7.0, "title": 2.0, "section_title": 1.0, "url": 1.0, "s": 1.0})
+    apply_pages(store, heavy, parse_documents(frame(spark, {"c": ("C", "quince quince")}), heavy))
+    apply_pages(store, heavy, parse_documents(frame(spark, {"d": ("D", "lemon")}), heavy))
+    got = {(r.term, r.wtf) for r in open_segments(store, heavy).postings.filter("term in ('pear', 'quince', 'lemon') and doc_id like '%:section:%'").collect()}
+    assert got == {("pear", 2 * 1.5), ("quince", 2 * 7.0), ("lemon", 2 * 7.0)}
+
+
+def test_joins_by_ids_agree_however_ids_travel(spark, monkeypatch):
+    from pagesearch.operators import skew
+
+    rows = spark.createDataFrame([("s", "a", 0), ("s", "b", 1), ("t", "a", 2), (None, "a", 0), ("s", None, 0), ("s", "b", 5)], "site string, doc_id string, _seq int")
+    ids = spark.createDataFrame([("s", "a", 1), ("s", "b", 3), (None, "a", 9), ("s", None, 9), ("u", "a", 9)], "site string, doc_id string, _until int")
+    flat = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for fits in (lambda *a, **b: True, lambda *a, max_rows=0, **b: max_rows == skew.MOST_HASHES, lambda *a, **b: False):
+        monkeypatch.setattr(skew, "fits_broadcast", fits)
+        assert flat(skew.by_ids(rows, ids, ["site", "doc_id"], "left_semi")) == [("s", "a", 0), ("s", "b", 1)]
+        assert flat(skew.by_ids(rows, ids, ["site", "doc_id"], "left_anti")) == [("s", "b", 5), ("s", None, 0), ("t", "a", 2), (None, "a", 0)]
+        assert flat(skew.by_ids(rows, ids.drop("_until"), ["site", "doc_id"], "left_semi")) == [("s", "a", 0), ("s", "b", 1), ("s", "b", 5)]
+
+
 @pytest.mark.parametrize("name", ["absent"])
 def test_nothing_published(spark, tmp_path, name):
     with pytest.raises(LookupError):

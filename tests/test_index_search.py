@@ -353,6 +353,40 @@ def test_stored_postings_are_made_where_documents_lie(spark, store):
             assert terms == sorted(terms)
 
 
+def test_tokens_are_cut_by_whole_arrays_as_spark_cuts_them(spark):
+    import pyarrow as pa
+
+    from pagesearch.functions.text import all_tokens, tokens
+    from pagesearch.operators import postings as Post
+
+    random, signs = Random(11), "aB é𝒜İ_\t\n\x0b\x00\u00a0.,-'0 "
+    texts = ["".join(random.choice(signs) for _ in range(random.randint(0, 14))) for _ in range(400)]
+    texts += ["", "the", "by\\-nc the", "the\\\\ x", "a\\", "\\é the\\_", "2\\.0 of-the IN", None]
+    docs = spark.createDataFrame([("u", str(i), t, t) for i, t in enumerate(texts)], "site string, doc_id string, title string, body string").coalesce(2)
+    plain = docs.filter(~F.contains("body", F.lit("\\"))).select(F.lower("body").alias("low"), all_tokens(F.col("body")).alias("tokens")).collect()
+    cell, found = Post.cut(pa.array([r.low for r in plain], pa.string()))
+    assert list(zip(cell.tolist(), found.to_pylist())) == [(i, t) for i, r in enumerate(plain) for t in r.tokens]
+    config = SiteConfig("u", field_weights={"title": 2.0, "body": 1.0})
+    got = {}
+    for r in Post.stored_postings(docs, config, with_site=False).collect():
+        if not r.term.startswith(("+ ", "~ ")):
+            for f, places in zip(r.fields, r.positions):
+                got.update({(r.doc_id, f, p): r.term for p in places})
+    want = {}
+    for r in docs.select("doc_id", tokens(F.col("body")).alias("t")).collect():
+        want.update({(r.doc_id, f, f * len(r.t) + p): t for f in (0, 1) for p, t in enumerate(r.t)})
+    assert got == want and len(want) > 500
+
+
+def test_postings_of_one_site_go_to_its_folder(spark, store, monkeypatch):
+    written = []
+    real = index_site.write_in_place
+    monkeypatch.setattr(index_site, "write_in_place", lambda rows, path, site=None: (written.append((rows.columns, site)), real(rows, path, site)))
+    reindex(page_rows(spark), CONFIG, store, buckets=4)
+    assert written == [(["term", "doc_id", "doc_score", "max_wtf", "fields", "positions"], SITE)]
+    assert {r.site for r in open_index(store, CONFIG).postings.select("site").distinct().collect()} == {SITE}
+
+
 def test_corpus_pages_are_moved_before_they_are_split(spark):
     from pagesearch.plans.index_site import enrich
     from pagesearch.workload import corpus
